@@ -155,16 +155,20 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int
         yield tuple(block)
 
 
+def _search(block, error_rate: float, min_chars: int):
+    @F.pandas_udf(HIT)
+    def hits(texts: pd.Series) -> pd.Series:
+        find = _matcher(block.value, error_rate, min_chars).find
+        return pd.Series([find(t) for t in texts.tolist()], dtype="object")
+
+    return hits
+
+
 def _with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, error_rate: float, min_chars: int, block_chars: int, name: str) -> DataFrame:
     columns = []
     for block in _blocks(benchmark, item_col, item_text_col, block_chars):
-        held = docs.sparkSession.sparkContext.broadcast(block)
-
-        def hits(texts: pd.Series, held=held) -> pd.Series:
-            find = _matcher(held.value, error_rate, min_chars).find
-            return pd.Series([find(t) for t in texts.tolist()], dtype="object")
-
-        columns.append(F.pandas_udf(hits, HIT)(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
+        search = _search(docs.sparkSession.sparkContext.broadcast(block), error_rate, min_chars)
+        columns.append(search(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
     return docs.withColumn(name, F.concat(*columns) if columns else F.expr(f"cast(array() as {HIT})"))
 
 
