@@ -9,16 +9,21 @@ library does, or with a special token's string, go to the library whole.
 from __future__ import annotations
 
 import os
-from itertools import chain
+import re
 
+import numpy as np
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 # Fixed value: the published splitting pattern of the byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-PLAIN = regex.compile(r"[\t\n\r\x20-\x7E¡-¬®-ɏΑ-ΡΣ-ϿА-я‐-‧‰-⁞€]*", flags=regex.V0)
+# The same on texts of nothing but ASCII, Latin letters and a few marks, for the faster standard library.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+PLAIN = re.compile(rf" ?[{LETTERS}]+|'(?:[sdmt]|re|ve|ll)| ?[0-9]+| ?[^ \t\n\r{LETTERS}0-9]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
+ODD = re.compile(rf"[^\t\n\r\x20-\x7E{LETTERS[6:]}¡¿«»©–—‘’“”…€]")
 CACHE = 400_000
+PART = 128
 
 _OPEN: dict[tuple[str, bool], "Pieces"] = {}
 
@@ -44,13 +49,13 @@ def frequent(path: str, ids: bool) -> dict:
             text = bytes(back[c] for c in entry).decode()
         except UnicodeDecodeError:
             continue
-        if PLAIN.fullmatch(text) and split.findall(text) == [text]:
+        if not ODD.search(text) and split.findall(text) == [text]:
             texts.append(text)
     return dict(zip(texts, map(_packed if ids else _length, tok.encode_batch_fast(texts, add_special_tokens=False)), strict=True))
 
 
 def _packed(encoding) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in encoding.ids)
+    return np.array(encoding.ids, "<u4").tobytes()
 
 
 def _length(encoding) -> int:
@@ -65,35 +70,57 @@ class Pieces:
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.split = regex.compile(PATTERN)
         self.tier = table if table is not None else frequent(path, ids)
         self.known = dict(self.tier)
         self.make = _packed if ids else _length
         self.ids = ids
+        self.whole = b"".join if ids else sum
+        self.feed = self.tok.encode("\n", add_special_tokens=False).ids[0]
+
+    def learn(self, missing: list[str]) -> None:
+        """Encode pre-tokens many to a call, with a line feed, a token and pre-token of its own, between any two."""
+        alone = [p for p in missing if not p.strip()]
+        rest = [p for p in missing if p.strip()]
+        self.known.update(zip(alone, map(self.make, self.tok.encode_batch_fast(alone, add_special_tokens=False)), strict=True))
+        if not rest:
+            return
+        ids = np.array(self.tok.encode_batch_fast(["\n".join(rest)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.append(np.flatnonzero(ids == self.feed), len(ids))
+        starts = np.append(0, ends[:-1] + 1)
+        if self.ids:
+            packed = ids.tobytes()
+            self.known.update(zip(rest, [packed[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], strict=True))
+        else:
+            self.known.update(zip(rest, (ends - starts).tolist(), strict=True))
 
     def encode(self, texts: list[str]) -> list:
         """Per text the number of tokens, or its ids packed in little-endian 32-bit."""
         out: list = [None] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
+        cut: list[int] = []
         whole: list[int] = []
         for i, t in enumerate(texts):
-            if PLAIN.fullmatch(t) and not any(s in t for s in self.special):
-                cut.append((i, self.split.findall(t)))
-            else:
-                whole.append(i)
+            (whole if ODD.search(t) or any(s in t for s in self.special) else cut).append(i)
         for i, e in zip(whole, self.tok.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
             out[i] = self.make(e)
-        for k in range(0, len(cut), 64):
-            part = cut[k : k + 64]
-            missing = list(set(chain.from_iterable(p for _, p in part)).difference(self.known))
-            if len(self.known) + len(missing) > len(self.tier) + CACHE:
+        for k in range(0, len(cut), PART):
+            gaps: list[tuple[int, list[str], list]] = []
+            missing: set[str] = set()
+            if len(self.known) > len(self.tier) + CACHE:
                 self.known = dict(self.tier)
-                missing = list(set(chain.from_iterable(p for _, p in part)).difference(self.known))
+            get = self.known.get
+            for i in cut[k : k + PART]:
+                p = PLAIN.findall(texts[i])
+                got = list(map(get, p))
+                if None in got:
+                    gaps.append((i, p, got))
+                    missing.update(x for x, v in zip(p, got, strict=True) if v is None)
+                else:
+                    out[i] = self.whole(got)
             if missing:
-                self.known.update(zip(missing, map(self.make, self.tok.encode_batch_fast(missing, add_special_tokens=False)), strict=True))
+                self.learn(list(missing))
             get = self.known.__getitem__
-            for i, p in part:
-                out[i] = b"".join(map(get, p)) if self.ids else sum(map(get, p))
+            for i, p, got in gaps:
+                out[i] = self.whole([get(x) if v is None else v for x, v in zip(p, got, strict=True)])
         return out
 
 
