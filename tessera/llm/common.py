@@ -24,11 +24,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+ARROW_ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand rows to Python in batches that stay small with long texts, unless the session says otherwise."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, ARROW_ROWS)
+
+
 class Scratch:
     """Tables written once and read back: they cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        small_batches(spark)
         self.base = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
         self.paths: list[str] = []
 

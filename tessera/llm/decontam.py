@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import small_batches
+
 HIT = "array<struct<item_id:long,start:int,end:int,distance:int>>"
 
 
@@ -165,6 +167,7 @@ def _search(block, error_rate: float, min_chars: int):
 
 
 def _with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, error_rate: float, min_chars: int, block_chars: int, name: str) -> DataFrame:
+    small_batches(docs.sparkSession)
     columns = []
     for block in _blocks(benchmark, item_col, item_text_col, block_chars):
         search = _search(docs.sparkSession.sparkContext.broadcast(block), error_rate, min_chars)

@@ -25,7 +25,6 @@ An empty table gives an empty result; other columns are not read by `components`
 
 from __future__ import annotations
 
-import gc
 import math
 
 import numpy as np
@@ -65,17 +64,22 @@ def _chunks(batch: pa.RecordBatch):
         yield batch.slice(k, CHUNK)
 
 
+def _point(values: np.ndarray) -> bytes:
+    """How many shingles of a set fall in each of DIMENSIONS groups, held at 255."""
+    return np.minimum(np.bincount((mix(values) >> np.uint64(56)).astype(np.int64), minlength=DIMENSIONS), 255).astype(np.uint8).tobytes()
+
+
 def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, node): every document's set size and the hash of its set."""
+    """(id, n, node, point): every document's set size, the hash of its set and its count vector."""
 
     def run(batches):
         for whole in batches:
             for b in _chunks(whole):
                 sets = shingle_sets(b.column(1))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64())], ["id", "n", "node"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64()), pa.array([_point(s) if len(s) else None for s in sets], pa.binary())], ["id", "n", "node", "point"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"id {kind}, n long, node long")
+    return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"id {kind}, n long, node long, point binary")
 
 
 def group_levels(docs: DataFrame, text_col: str, bits: int = GROUP_BITS) -> np.ndarray:
@@ -200,8 +204,10 @@ def _blocks(docs: DataFrame, text_col: str, levels: np.ndarray, buckets: int) ->
     return shipped.repartition(buckets, "bucket").sortWithinPartitions("ready", "bucket").mapInArrow(meet, "key long, node long, center long")
 
 
-def _involved(nodes: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of 2**bits places in which the given nodes fall; its size does not grow with them."""
+def _involved(pairs: DataFrame) -> np.ndarray:
+    """A bitmap of places in which the nodes of (a, b) fall: some 16 for each, 2**26 (8 MB) at most."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+    bits = min(26, max(16, (16 * pairs.count()).bit_length()))
     at = F.pmod("node", F.lit(1 << bits))
     words = nodes.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(node, {1 << bits}) & 63 as int))")).alias("v")).toPandas()
     out = np.zeros(1 << (bits - 6), np.int64)
@@ -210,7 +216,7 @@ def _involved(nodes: DataFrame, bits: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, text_col: str, bitmap: np.ndarray) -> DataFrame:
-    """(node, n, point, members) of the nodes in the bitmap, from a scan of the texts."""
+    """(node, members) of the nodes in the bitmap, from a scan of the texts."""
     held = docs.sparkSession.sparkContext.broadcast(bitmap)
     places = bitmap.size * 64
 
@@ -226,12 +232,11 @@ def _sets(docs: DataFrame, text_col: str, bitmap: np.ndarray) -> DataFrame:
                     at = node % places
                     if node not in seen and int(held.value[at >> 6]) >> (at & 63) & 1:
                         seen.add(node)
-                        point = np.bincount((mix(s) >> np.uint64(56)).astype(np.int64), minlength=DIMENSIONS)
-                        out.append((node, len(s), np.minimum(point, 65535).astype(np.uint16).tobytes(), s.tobytes()))
+                        out.append((node, s.tobytes()))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary()), pa.array([x[3] for x in out], pa.binary())], ["node", "n", "point", "members"])
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["node", "members"])
 
-    return _texts(docs, text_col).mapInArrow(run, "node long, n long, point binary, members binary").dropDuplicates(["node"])
+    return _texts(docs, text_col).mapInArrow(run, "node long, members binary").dropDuplicates(["node"])
 
 
 @F.pandas_udf(BooleanType())
@@ -252,9 +257,9 @@ def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
 def _points_meet(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
     out = []
     for x, y, i, j in zip(a, b, n, m, strict=True):
-        x, y = np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)
+        x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
         # A coordinate that reached its highest value may stand for more; it then bounds nothing.
-        bound = i + j if max(x.max(), y.max()) == 65535 else int(np.minimum(x, y).sum())
+        bound = i + j if max(x.max(), y.max()) == 255 else int(np.minimum(x, y).sum(dtype=np.int64))
         out.append(bound >= least_overlap(i, j))
     return pd.Series(out, dtype="bool")
 
@@ -264,8 +269,8 @@ def _boxes_meet(high_a: pd.Series, high_b: pd.Series, n: pd.Series, m: pd.Series
     """n, m: the smallest sizes in the two leaves. The overlap of any two points is at most the sum of the smaller upper corners."""
     out = []
     for ha, hb, i, j in zip(high_a, high_b, n, m, strict=True):
-        ha, hb = np.frombuffer(ha, np.uint16), np.frombuffer(hb, np.uint16)
-        bound = i + j if max(ha.max(), hb.max()) == 65535 else int(np.minimum(ha, hb).sum())
+        ha, hb = np.frombuffer(ha, np.uint8), np.frombuffer(hb, np.uint8)
+        bound = i + j if max(ha.max(), hb.max()) == 255 else int(np.minimum(ha, hb).sum(dtype=np.int64))
         out.append(bound >= least_overlap(i, j))
     return pd.Series(out, dtype="bool")
 
@@ -273,7 +278,7 @@ def _boxes_meet(high_a: pd.Series, high_b: pd.Series, n: pd.Series, m: pd.Series
 @F.pandas_udf(BinaryType())
 def _corner(points: pd.Series) -> pd.Series:
     """Upper corner of the box around the points of a leaf, LEAF of them at most."""
-    return pd.Series([np.max([np.frombuffer(p, np.uint16) for p in leaf], axis=0).tobytes() for leaf in points], dtype="object")
+    return pd.Series([np.max([np.frombuffer(p, np.uint8) for p in leaf], axis=0).tobytes() for leaf in points], dtype="object")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
@@ -309,29 +314,27 @@ def _labelled(blocks: DataFrame, labels: DataFrame | None) -> DataFrame:
     return blocks.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _leaf_pairs(open_blocks: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b): pairs of nodes of one block and different components that the boxes and the points let through."""
-    sizes = sets.select("node", "n", "point")
-    members = open_blocks.select("key", "node", "label").distinct().join(sizes, "node")
+def _leaf_pairs(open_blocks: DataFrame, points: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): pairs of nodes of one block and different components that the boxes and the points let through.
+
+    A block of one leaf has nothing to prune by boxes; only larger ones carry points into the leaves."""
+    members = open_blocks.select("key", "node", "label").distinct().join(points.select("node", "n"), "node")
     leaves = members.withColumn("leaf", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("n", "node")) - 1) / LEAF))
     leaves = scratch.table(leaves, "leaves")
-    boxes = leaves.groupBy("key", "leaf").agg(F.collect_list("point").alias("points"), F.min("n").alias("least"), F.max("n").alias("most"))
+    large = scratch.table(leaves.filter("leaf > 0").select("key").distinct(), "large")
+    tiled = leaves.join(large, "key", "left_semi").join(points.select("node", "point"), "node")
+    boxes = tiled.groupBy("key", "leaf").agg(F.collect_list("point").alias("points"), F.min("n").alias("least"), F.max("n").alias("most"))
     boxes = scratch.table(boxes.select("key", "leaf", _corner("points").alias("high"), "least", "most"), "boxes")
     other = boxes.select("key", *[F.col(c).alias(c + "_b") for c in ("leaf", "high", "least", "most")])
     near = boxes.join(other, "key").filter(f"leaf <= leaf_b and 100 * most >= {PERCENT} * least_b and 100 * most_b >= {PERCENT} * least")
-    near = near.filter(_boxes_meet("high", "high_b", "least", "least_b")).select("key", "leaf", "leaf_b")
+    near = scratch.table(near.filter(_boxes_meet("high", "high_b", "least", "least_b")).select("key", "leaf", "leaf_b"), "near")
     right = leaves.select("key", *[F.col(c).alias(c + "_b") for c in ("leaf", "node", "label", "n")])
-    pairs = near.join(leaves.drop("point"), ["key", "leaf"]).join(right, ["key", "leaf_b"]).filter(f"label != label_b and node != node_b and 100 * least(n, n_b) >= {PERCENT} * greatest(n, n_b)")
-    pairs = pairs.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
-    one = sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("point_a"))
-    two = sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("point_b"))
-    met = pairs.join(one, "a").join(two, "b").filter(_points_meet("point_a", "point_b", "n_a", "n_b"))
-    return scratch.table(met.select("a", "b"), "met")
-
-
-def _forget() -> None:
-    """Let Spark's cleaner delete the shuffle files of finished jobs."""
-    gc.collect()
+    fits = f"label != label_b and node != node_b and 100 * least(n, n_b) >= {PERCENT} * greatest(n, n_b)"
+    of_large = near.join(leaves, ["key", "leaf"]).join(right, ["key", "leaf_b"]).filter(fits)
+    small = leaves.join(large, "key", "left_anti")
+    of_small = small.join(right.drop("leaf_b"), "key").filter(fits + " and node < node_b")
+    ends = [F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")]
+    return _fitting(of_large.select(*ends).union(of_small.select(*ends)).distinct(), points, scratch)
 
 
 def node_links(docs: DataFrame, nodes: DataFrame, text_col: str, scratch: Scratch, bits: int = GROUP_BITS) -> DataFrame | None:
@@ -343,39 +346,40 @@ def node_links(docs: DataFrame, nodes: DataFrame, text_col: str, scratch: Scratc
     buckets = max(24, total // 4_000_000)
     blocks = scratch.table(_blocks(docs, text_col, levels, buckets), "blocks")
     stars = scratch.table(blocks.filter("node != center").groupBy("node", "center").agg(F.count("*").alias("shared")), "stars")
-    n_stars = stars.count()
-    if not n_stars:
+    if stars.isEmpty():
         return None
-    _forget()
-    touched = stars.select("node").union(stars.select(F.col("center").alias("node")))
-    sets = scratch.table(_sets(docs, text_col, _involved(touched, min(26, max(16, (16 * n_stars).bit_length())))), "sets")
-    # First every node meets the block centre it shares most with, then what these links leave apart.
-    best = stars.groupBy("node").agg(F.max_by("center", F.struct("shared", "center")).alias("center"))
-    links = _verified(best.select(F.col("node").alias("a"), F.col("center").alias("b")), sets, scratch)
+    points = scratch.table(nodes.filter("node is not null").dropDuplicates(["node"]).select("node", "n", "point"), "points")
+    # Pairs that the points rule out need no sets; then every node meets the centre it shares most with, then the others.
+    stars = _fitting(stars.select(F.col("node").alias("a"), F.col("center").alias("b"), "shared"), points, scratch, "shared")
+    sets = scratch.table(_sets(docs, text_col, _involved(stars)), "sets")
+    best = scratch.table(stars.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")), "best")
+    links = _verified(best, sets, scratch)
     labels = connected(links, scratch)
-    seen = labels.select(F.col("node").alias("center"), F.col("label").alias("center_label"))
-    apart = _labelled(stars, labels).join(seen, "center", "left").filter("label != coalesce(center_label, center)")
-    done = best.withColumnRenamed("center", "done")
-    apart = apart.join(done, "node").filter("center != done").select(F.col("node").alias("a"), F.col("center").alias("b"))
-    apart = _fitting(apart, sets, scratch)
+    apart = stars.select("a", "b").join(best, ["a", "b"], "left_anti")
+    apart = apart.join(_as(labels, "a"), "a", "left").join(_as(labels, "b"), "b", "left").filter("coalesce(label_a, a) != coalesce(label_b, b)").select("a", "b")
     links = scratch.table(links.union(_verified(apart, sets, scratch)), "links")
     labels = connected(links, scratch)
     marked = scratch.table(_labelled(blocks, labels).select("key", "node", "label"), "marked")
     open_keys = scratch.table(marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key"), "open")
-    pairs = _leaf_pairs(marked.join(open_keys, "key"), sets, scratch)
+    pairs = _leaf_pairs(marked.join(open_keys, "key"), points, scratch).join(stars.select("a", "b").union(stars.select("b", "a")), ["a", "b"], "left_anti")
+    pairs = scratch.table(pairs, "pairs")
     if pairs.isEmpty():
         return labels
+    sets = scratch.table(_sets(docs, text_col, _involved(pairs)), "sets")
     links = scratch.table(links.union(_verified(pairs, sets, scratch)), "links")
     return connected(links, scratch)
 
 
-def _fitting(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs whose sizes and points can reach the overlap."""
-    s = sets.select("node", "n", "point")
-    one = s.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("point_a"))
-    two = s.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("point_b"))
+def _as(labels: DataFrame, end: str) -> DataFrame:
+    return labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
+
+
+def _fitting(pairs: DataFrame, points: DataFrame, scratch: Scratch, *more: str) -> DataFrame:
+    """Pairs (a, b) whose sizes and points can reach the overlap."""
+    one = points.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("point_a"))
+    two = points.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("point_b"))
     near = pairs.join(one, "a").join(two, "b").filter(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)").filter(_points_meet("point_a", "point_b", "n_a", "n_b"))
-    return scratch.table(near.select("a", "b"), "fitting")
+    return scratch.table(near.select("a", "b", *more), "fitting")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, bits: int = GROUP_BITS) -> DataFrame:

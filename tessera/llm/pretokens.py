@@ -22,7 +22,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 PLAIN = re.compile(rf" ?[{LETTERS}]+|'(?:[sdmt]|re|ve|ll)| ?[0-9]+| ?[^ \t\n\r{LETTERS}0-9]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
 ODD = re.compile(rf"[^\t\n\r\x20-\x7E{LETTERS[6:]}¡¿«»©–—‘’“”…€]")
-CACHE = 400_000
+CACHE = 200_000
 PART = 128
 
 _OPEN: dict[tuple[str, bool], "Pieces"] = {}

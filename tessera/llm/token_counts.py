@@ -13,11 +13,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import small_batches
 from tessera.llm.pretokens import frequent, pieces
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of every whole text. tokenizer_path: a tokenizers .json of byte-level BPE."""
+    small_batches(docs.sparkSession)
     table = docs.sparkSession.sparkContext.broadcast(frequent(tokenizer_path, False))
 
     @F.pandas_udf("long")
