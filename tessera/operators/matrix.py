@@ -55,7 +55,7 @@ def annotate_top(df: DataFrame, key: str, label: str, value: str, ambiguous: flo
     first, second = F.try_element_at("s", F.lit(1)), F.try_element_at("s", F.lit(2))
     out = s.select(key, first["l"].alias("top"), (-first["v"]).alias("best"), second["l"].alias("runner_up"), (-second["v"]).alias("second"))
     ratio = F.try_divide(F.col("second"), F.col("best"))
-    return out.withColumns({"margin": F.col("best") - F.col("second"), "call": F.when(ratio >= ambiguous, "AMBIGUOUS").otherwise(F.col("top"))})
+    return out.withColumns({"margin": F.col("best") - F.col("second"), "call": F.when(ratio >= ambiguous, "AMBIGUOUS").otherwise(F.col("top").cast("string"))})
 
 
 def markov_step(edges: DataFrame, values: DataFrame) -> DataFrame:
