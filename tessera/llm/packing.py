@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch
-from tessera.llm.pretokens import frequent, pieces
+from tessera.llm.pretokens import whole
 
 END_ID = (0).to_bytes(4, "little")
 
@@ -117,13 +117,12 @@ def cut(n_tokens: int, capacity: int) -> list[tuple[int, int]]:
 
 def piece_table(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str, text_col: str) -> DataFrame:
     """(id, piece, start, length, crc) of every document."""
-    table = docs.sparkSession.sparkContext.broadcast(frequent(tokenizer_path, True))
-
     @F.pandas_udf("array<struct<piece:int,start:long,length:long,crc:long>>")
     def cut_texts(texts: pd.Series) -> pd.Series:
         out = []
-        for ids in pieces(tokenizer_path, True, table.value).encode(texts.tolist()):
-            ids += END_ID
+        packed = whole(tokenizer_path).packed
+        for t in texts.tolist():
+            ids = packed(t) + END_ID
             out.append([{"piece": i, "start": s, "length": n, "crc": zlib.crc32(ids[4 * s : 4 * (s + n)])} for i, (s, n) in enumerate(cut(len(ids) // 4, capacity))])
         return pd.Series(out, dtype="object")
 
