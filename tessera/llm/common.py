@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -54,6 +55,11 @@ class Scratch:
         for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             self._delete(f)
 
+    def settle(self) -> None:
+        """Let go of finished plans, so that Spark's cleaner deletes their shuffle files before more are written."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def close(self) -> None:
         self._delete(self.base)
 

@@ -400,6 +400,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     scratch = scratch or Scratch(docs.sparkSession)
     found = scratch.table(components(docs, id_col, text_col, scratch), "found")
     gone = scratch.table(found.filter(f"{id_col} != component_id").select(F.col(id_col).alias("__tessera_gone")).distinct(), "gone")
+    scratch.settle()
+    # The ids grow with the corpus: a merge join at every size, never a broadcast.
+    gone = gone.hint("merge")
     kept = docs.join(gone, docs[id_col] == gone["__tessera_gone"], "left_anti")
     again = found.filter(f"n_shingles > 0 and {id_col} = component_id").groupBy(id_col).count().filter("count > 1")
     if again.isEmpty():
