@@ -55,8 +55,9 @@ def least_overlap(a: int, b: int) -> int:
     return -(-PERCENT * (a + b) // (100 + PERCENT))
 
 
-def _texts(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.select(docs[text_col].cast("string").alias("text"))
+def _members(nodes: DataFrame) -> DataFrame:
+    """(node, members) of every set, once for each task that met it."""
+    return nodes.filter("members is not null").select("node", "members")
 
 
 def _chunks(batch: pa.RecordBatch):
@@ -70,19 +71,28 @@ def _point(values: np.ndarray) -> bytes:
 
 
 def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, node, point): every document's set size, the hash of its set and its count vector."""
+    """(id, n, node, point, members): every document's set size, the hash of its set, its count vector and, with the
+    first document of a task that has the set, the sorted hashes themselves. Texts are shingled here alone."""
 
     def run(batches):
+        seen: set[int] = set()
         for whole in batches:
             for b in _chunks(whole):
                 sets = shingle_sets(b.column(1))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64()), pa.array([_point(s) if len(s) else None for s in sets], pa.binary())], ["id", "n", "node", "point"])
+                names = [set_hash(s) if len(s) else None for s in sets]
+                members = []
+                for s, node in zip(sets, names, strict=True):
+                    members.append(None if node is None or node in seen else s.tobytes())
+                    if node is not None:
+                        seen.add(node)
+                columns = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array([_point(s) if len(s) else None for s in sets], pa.binary()), pa.array(members, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "node", "point", "members"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"id {kind}, n long, node long, point binary")
+    return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"id {kind}, n long, node long, point binary, members binary")
 
 
-def group_levels(docs: DataFrame, text_col: str, bits: int = GROUP_BITS) -> np.ndarray:
+def group_levels(nodes: DataFrame, bits: int = GROUP_BITS) -> np.ndarray:
     """Per group of shingles: 0, or how many doublings its corpus count lies above what chance gives; 2**bits bytes.
 
     Each task ships its counts in slices, which are summed slice by slice; the levels alone come to the driver."""
@@ -92,7 +102,7 @@ def group_levels(docs: DataFrame, text_col: str, bits: int = GROUP_BITS) -> np.n
         total = np.zeros(size, np.uint32)
         for whole in batches:
             for b in _chunks(whole):
-                sets = shingle_sets(b.column(0))
+                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(1)]
                 if sets:
                     total += np.bincount((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), minlength=size).astype(np.uint32)
         step = size // SLICES
@@ -109,7 +119,7 @@ def group_levels(docs: DataFrame, text_col: str, bits: int = GROUP_BITS) -> np.n
             out.append(np.clip(np.ceil(np.log2(np.maximum(v, 1) / (mean + 6 * math.sqrt(mean) + 8))), 0, 60).astype(np.uint8).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(out, pa.binary())], ["slice", "levels"])
 
-    counts = _texts(docs, text_col).mapInArrow(count, "slice int, counts binary")
+    counts = _members(nodes).mapInArrow(count, "slice int, counts binary")
     rows = counts.repartition(SLICES, "slice").mapInArrow(add, "slice int, levels binary").collect()
     out = np.zeros(size, np.uint8)
     for r in rows:
@@ -117,12 +127,12 @@ def group_levels(docs: DataFrame, text_col: str, bits: int = GROUP_BITS) -> np.n
     return out
 
 
-def _blocks(docs: DataFrame, text_col: str, levels: np.ndarray, buckets: int) -> DataFrame:
+def _blocks(nodes: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
     """(key, node, center): members of blocks of two nodes or more, each with the smallest node its task or bucket knew.
 
     Tasks meet equal keys themselves first and ship one node for them, so that a key reaches its bucket at most once
     from each task however many documents have it; their own members pass through dealt evenly."""
-    held = docs.sparkSession.sparkContext.broadcast(levels)
+    held = nodes.sparkSession.sparkContext.broadcast(levels)
     bits = int(levels.size).bit_length() - 1
 
     def smallest(keys: np.ndarray, nodes: np.ndarray):
@@ -145,13 +155,11 @@ def _blocks(docs: DataFrame, text_col: str, levels: np.ndarray, buckets: int) ->
         keys, nodes = [], []
         for whole in batches:
             for b in _chunks(whole):
-                for s in shingle_sets(b.column(0)):
-                    if not len(s):
-                        continue
-                    node = set_hash(s)
+                for node, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                     if node in seen:
                         continue
                     seen.add(node)
+                    s = np.frombuffer(x.as_buffer(), np.uint64)
                     level = held.value[(s >> np.uint64(64 - bits)).astype(np.int64)]
                     k = prefix_length(len(s))
                     hashed = mix(s)
@@ -200,7 +208,7 @@ def _blocks(docs: DataFrame, text_col: str, levels: np.ndarray, buckets: int) ->
         _, _, mk, mn, mc = smallest(x[:, 0].copy(), x[:, 1].copy())
         yield from rows(mk, mn, mc)
 
-    shipped = _texts(docs, text_col).mapInArrow(ship, "bucket int, ready boolean, data binary")
+    shipped = _members(nodes).mapInArrow(ship, "bucket int, ready boolean, data binary")
     return shipped.repartition(buckets, "bucket").sortWithinPartitions("ready", "bucket").mapInArrow(meet, "key long, node long, center long")
 
 
@@ -215,28 +223,17 @@ def _involved(pairs: DataFrame) -> np.ndarray:
     return out
 
 
-def _sets(docs: DataFrame, text_col: str, bitmap: np.ndarray) -> DataFrame:
-    """(node, members) of the nodes in the bitmap, from a scan of the texts."""
-    held = docs.sparkSession.sparkContext.broadcast(bitmap)
+def _sets(nodes: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """(node, members) of the nodes in the bitmap, each once, partitioned by node."""
+    held = nodes.sparkSession.sparkContext.broadcast(bitmap)
     places = bitmap.size * 64
 
-    def run(batches):
-        seen: set[int] = set()
-        for whole in batches:
-            for b in _chunks(whole):
-                out = []
-                for s in shingle_sets(b.column(0)):
-                    if not len(s):
-                        continue
-                    node = set_hash(s)
-                    at = node % places
-                    if node not in seen and int(held.value[at >> 6]) >> (at & 63) & 1:
-                        seen.add(node)
-                        out.append((node, s.tobytes()))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["node", "members"])
+    @F.pandas_udf(BooleanType())
+    def inside(node: pd.Series) -> pd.Series:
+        at = node.to_numpy(np.int64) % places
+        return pd.Series((held.value[at >> 6] >> (at & 63) & 1).astype(bool))
 
-    return _texts(docs, text_col).mapInArrow(run, "node long, members binary").dropDuplicates(["node"])
+    return _members(nodes).filter(inside(F.coalesce("node", F.lit(0).cast("long")))).groupBy("node").agg(F.first("members").alias("members"))
 
 
 @F.pandas_udf(BooleanType())
@@ -281,11 +278,15 @@ def _corner(points: pd.Series) -> pd.Series:
     return pd.Series([np.max([np.frombuffer(p, np.uint8) for p in leaf], axis=0).tobytes() for leaf in points], dtype="object")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """The linked ones of (a, b)."""
+def _verified(pairs: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """The linked ones of (a, b). Both ends read one exchange of the sets; sets grow with the corpus and are never broadcast."""
+    sets = _sets(nodes, _involved(pairs))
     one = sets.select(F.col("node").alias("a"), F.col("members").alias("set_a"))
     two = sets.select(F.col("node").alias("b"), F.col("members").alias("set_b"))
-    return scratch.table(pairs.join(one, "a").join(two, "b").filter(_linked("set_a", "set_b")).select("a", "b"), "links")
+    both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b")
+    links = scratch.table(both.filter(_linked("set_a", "set_b")).select("a", "b"), "links")
+    scratch.settle()
+    return links
 
 
 def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -337,36 +338,40 @@ def _leaf_pairs(open_blocks: DataFrame, points: DataFrame, scratch: Scratch) ->
     return _fitting(of_large.select(*ends).union(of_small.select(*ends)).distinct(), points, scratch)
 
 
-def node_links(docs: DataFrame, nodes: DataFrame, text_col: str, scratch: Scratch, bits: int = GROUP_BITS) -> DataFrame | None:
+def node_links(nodes: DataFrame, scratch: Scratch, bits: int = GROUP_BITS) -> DataFrame | None:
     """(node, label) of all nodes with a link; None when no two documents share a first shingle."""
     total = nodes.agg(F.sum("n")).first()[0] or 0
     if not total:
         return None
-    levels = group_levels(docs, text_col, bits)
+    levels = group_levels(nodes, bits)
     buckets = max(24, total // 4_000_000)
-    blocks = scratch.table(_blocks(docs, text_col, levels, buckets), "blocks")
+    blocks = scratch.table(_blocks(nodes, levels, buckets), "blocks")
+    scratch.settle()
     stars = scratch.table(blocks.filter("node != center").groupBy("node", "center").agg(F.count("*").alias("shared")), "stars")
     if stars.isEmpty():
         return None
     points = scratch.table(nodes.filter("node is not null").dropDuplicates(["node"]).select("node", "n", "point"), "points")
     # Pairs that the points rule out need no sets; then every node meets the centre it shares most with, then the others.
+    met = stars
     stars = _fitting(stars.select(F.col("node").alias("a"), F.col("center").alias("b"), "shared"), points, scratch, "shared")
-    sets = scratch.table(_sets(docs, text_col, _involved(stars)), "sets")
+    scratch.drop(met)
     best = scratch.table(stars.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")), "best")
-    links = _verified(best, sets, scratch)
+    links = _verified(best, nodes, scratch)
     labels = connected(links, scratch)
     apart = stars.select("a", "b").join(best, ["a", "b"], "left_anti")
     apart = apart.join(_as(labels, "a"), "a", "left").join(_as(labels, "b"), "b", "left").filter("coalesce(label_a, a) != coalesce(label_b, b)").select("a", "b")
-    links = scratch.table(links.union(_verified(apart, sets, scratch)), "links")
+    apart = scratch.table(apart, "apart")
+    links = scratch.table(links.union(_verified(apart, nodes, scratch)), "links")
     labels = connected(links, scratch)
     marked = scratch.table(_labelled(blocks, labels).select("key", "node", "label"), "marked")
+    scratch.drop(blocks)
+    scratch.settle()
     open_keys = scratch.table(marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key"), "open")
     pairs = _leaf_pairs(marked.join(open_keys, "key"), points, scratch).join(stars.select("a", "b").union(stars.select("b", "a")), ["a", "b"], "left_anti")
     pairs = scratch.table(pairs, "pairs")
     if pairs.isEmpty():
         return labels
-    sets = scratch.table(_sets(docs, text_col, _involved(pairs)), "sets")
-    links = scratch.table(links.union(_verified(pairs, sets, scratch)), "links")
+    links = scratch.table(links.union(_verified(pairs, nodes, scratch)), "links")
     return connected(links, scratch)
 
 
@@ -378,15 +383,17 @@ def _fitting(pairs: DataFrame, points: DataFrame, scratch: Scratch, *more: str)
     """Pairs (a, b) whose sizes and points can reach the overlap."""
     one = points.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("point_a"))
     two = points.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("point_b"))
-    near = pairs.join(one, "a").join(two, "b").filter(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)").filter(_points_meet("point_a", "point_b", "n_a", "n_b"))
-    return scratch.table(near.select("a", "b", *more), "fitting")
+    near = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").filter(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)").filter(_points_meet("point_a", "point_b", "n_a", "n_b"))
+    fitting = scratch.table(near.select("a", "b", *more), "fitting")
+    scratch.settle()
+    return fitting
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, bits: int = GROUP_BITS) -> DataFrame:
     """(id, n_shingles, component_id) per document."""
     scratch = scratch or Scratch(docs.sparkSession)
     nodes = scratch.table(_nodes(docs, id_col, text_col), "nodes")
-    labels = node_links(docs, nodes, text_col, scratch, bits)
+    labels = node_links(nodes, scratch, bits)
     sets = nodes.filter("node is not null").groupBy("node").agg(F.min("id").alias("first"))
     placed = _labelled(sets, labels)
     firsts = scratch.table(placed.groupBy("label").agg(F.min("first").alias("component")), "firsts")
