@@ -8,7 +8,7 @@ groups. Two numbers come from the groups:
 * A node's counts in `DIMENSIONS` groups are a point. The overlap of two sets is at most the sum over coordinates of the
   smaller count. Points that share a first shingle and are not joined yet are tiled, in order of size, into leaves of
   an R-tree with bounding boxes; pairs of leaves whose boxes cannot reach the overlap are dropped, then pairs of points,
-  and the rest are verified on the sets.
+  and the rest meet by counts in as many groups as a set has shingles, then on the sets.
 
 A tree over all points alone prunes nothing: the counts of unrelated long texts differ less than a link allows (the
 reason is in the README), so it works inside the blocks that first shingles make.
@@ -223,8 +223,8 @@ def _involved(pairs: DataFrame) -> np.ndarray:
     return out
 
 
-def _sets(nodes: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """(node, members) of the nodes in the bitmap, each once, partitioned by node."""
+def _sets(nodes: DataFrame, bitmap: np.ndarray, fine: bool = False) -> DataFrame:
+    """(node, members) of the nodes in the bitmap, each once, partitioned by node; fine: their counts instead of the sets."""
     held = nodes.sparkSession.sparkContext.broadcast(bitmap)
     places = bitmap.size * 64
 
@@ -233,7 +233,10 @@ def _sets(nodes: DataFrame, bitmap: np.ndarray) -> DataFrame:
         at = node.to_numpy(np.int64) % places
         return pd.Series((held.value[at >> 6] >> (at & 63) & 1).astype(bool))
 
-    return _members(nodes).filter(inside(F.coalesce("node", F.lit(0).cast("long")))).groupBy("node").agg(F.first("members").alias("members"))
+    found = _members(nodes).filter(inside(F.coalesce("node", F.lit(0).cast("long"))))
+    if fine:
+        found = found.select("node", _fine("members").alias("members"))
+    return found.groupBy("node").agg(F.first("members").alias("members"))
 
 
 @F.pandas_udf(BooleanType())
@@ -261,6 +264,32 @@ def _points_meet(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.S
     return pd.Series(out, dtype="bool")
 
 
+def fine_counts(members: np.ndarray) -> np.ndarray:
+    """Counts of a set in as many groups as it has shingles, rounded up to a power of two, held at 255: an eighth of its size."""
+    bits = max(8, (len(members) - 1).bit_length())
+    return np.minimum(np.bincount((mix(members) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+
+
+def fine_bound(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether sets with these counts can be linked; the finer counts are added up to the groups of the coarser."""
+    if max(x.max(), y.max()) == 255:
+        return True
+    if len(x) > len(y):
+        x, y = y, x
+    y = y.reshape(len(x), -1).sum(1, dtype=np.int64)
+    return int(np.minimum(x, y).sum(dtype=np.int64)) >= least_overlap(int(x.sum(dtype=np.int64)), int(y.sum()))
+
+
+@F.pandas_udf(BinaryType())
+def _fine(members: pd.Series) -> pd.Series:
+    return pd.Series([fine_counts(np.frombuffer(x, np.uint64)).tobytes() for x in members], dtype="object")
+
+
+@F.pandas_udf(BooleanType())
+def _fine_meet(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([fine_bound(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) for x, y in zip(a, b, strict=True)], dtype="bool")
+
+
 @F.pandas_udf(BooleanType())
 def _boxes_meet(high_a: pd.Series, high_b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
     """n, m: the smallest sizes in the two leaves. The overlap of any two points is at most the sum of the smaller upper corners."""
@@ -278,15 +307,22 @@ def _corner(points: pd.Series) -> pd.Series:
     return pd.Series([np.max([np.frombuffer(p, np.uint8) for p in leaf], axis=0).tobytes() for leaf in points], dtype="object")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """The linked ones of (a, b). Both ends read one exchange of the sets; sets grow with the corpus and are never broadcast."""
-    sets = _sets(nodes, _involved(pairs))
+def _meeting(pairs: DataFrame, nodes: DataFrame, test, fine: bool, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) that pass a test of both sets. Both ends read one exchange; sets grow with the corpus and are never broadcast."""
+    sets = _sets(nodes, _involved(pairs), fine)
     one = sets.select(F.col("node").alias("a"), F.col("members").alias("set_a"))
     two = sets.select(F.col("node").alias("b"), F.col("members").alias("set_b"))
     both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b")
-    links = scratch.table(both.filter(_linked("set_a", "set_b")).select("a", "b"), "links")
+    out = scratch.table(both.filter(test("set_a", "set_b")).select("a", "b"), "meeting")
     scratch.settle()
-    return links
+    return out
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, scratch: Scratch, fine: bool = False) -> DataFrame:
+    """The linked ones of (a, b); fine: pairs that finer counts rule out go before their sets move."""
+    if fine:
+        pairs = _meeting(pairs, nodes, _fine_meet, True, scratch)
+    return _meeting(pairs, nodes, _linked, False, scratch)
 
 
 def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -361,7 +397,7 @@ def node_links(nodes: DataFrame, scratch: Scratch, bits: int = GROUP_BITS) -> Da
     apart = stars.select("a", "b").join(best, ["a", "b"], "left_anti")
     apart = apart.join(_as(labels, "a"), "a", "left").join(_as(labels, "b"), "b", "left").filter("coalesce(label_a, a) != coalesce(label_b, b)").select("a", "b")
     apart = scratch.table(apart, "apart")
-    links = scratch.table(links.union(_verified(apart, nodes, scratch)), "links")
+    links = scratch.table(links.union(_verified(apart, nodes, scratch, fine=True)), "links")
     labels = connected(links, scratch)
     marked = scratch.table(_labelled(blocks, labels).select("key", "node", "label"), "marked")
     scratch.drop(blocks)
@@ -371,7 +407,7 @@ def node_links(nodes: DataFrame, scratch: Scratch, bits: int = GROUP_BITS) -> Da
     pairs = scratch.table(pairs, "pairs")
     if pairs.isEmpty():
         return labels
-    links = scratch.table(links.union(_verified(pairs, nodes, scratch)), "links")
+    links = scratch.table(links.union(_verified(pairs, nodes, scratch, fine=True)), "links")
     return connected(links, scratch)
 
 
