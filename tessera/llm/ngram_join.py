@@ -228,15 +228,18 @@ def _sets(nodes: DataFrame, bitmap: np.ndarray, fine: bool = False) -> DataFrame
     held = nodes.sparkSession.sparkContext.broadcast(bitmap)
     places = bitmap.size * 64
 
-    @F.pandas_udf(BooleanType())
-    def inside(node: pd.Series) -> pd.Series:
-        at = node.to_numpy(np.int64) % places
-        return pd.Series((held.value[at >> 6] >> (at & 63) & 1).astype(bool))
+    def run(batches):
+        # One function, so that a task holds one Python worker.
+        for whole in batches:
+            for b in _chunks(whole):
+                at = b.column(0).to_numpy() % places
+                b = b.filter(pa.array((held.value[at >> 6] >> (at & 63) & 1).astype(bool)))
+                if fine:
+                    counts = [fine_counts(np.frombuffer(x.as_buffer(), np.uint64)).tobytes() for x in b.column(1)]
+                    b = pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.binary())], ["node", "members"])
+                yield b
 
-    found = _members(nodes).filter(inside(F.coalesce("node", F.lit(0).cast("long"))))
-    if fine:
-        found = found.select("node", _fine("members").alias("members"))
-    return found.groupBy("node").agg(F.first("members").alias("members"))
+    return _members(nodes).mapInArrow(run, "node long, members binary").groupBy("node").agg(F.first("members").alias("members"))
 
 
 @F.pandas_udf(BooleanType())
@@ -280,11 +283,6 @@ def fine_bound(x: np.ndarray, y: np.ndarray) -> bool:
     return int(np.minimum(x, y).sum(dtype=np.int64)) >= least_overlap(int(x.sum(dtype=np.int64)), int(y.sum()))
 
 
-@F.pandas_udf(BinaryType())
-def _fine(members: pd.Series) -> pd.Series:
-    return pd.Series([fine_counts(np.frombuffer(x, np.uint64)).tobytes() for x in members], dtype="object")
-
-
 @F.pandas_udf(BooleanType())
 def _fine_meet(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([fine_bound(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) for x, y in zip(a, b, strict=True)], dtype="bool")
