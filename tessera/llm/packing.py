@@ -126,6 +126,8 @@ def piece_table(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str
             out.append([{"piece": i, "start": s, "length": n, "crc": zlib.crc32(ids[4 * s : 4 * (s + n)])} for i, (s, n) in enumerate(cut(len(ids) // 4, capacity))])
         return pd.Series(out, dtype="object")
 
+    # Called nondeterministic, or the filter that Spark infers below the explode would run it a second time.
+    cut_texts = cut_texts.asNondeterministic()
     cut_up = docs.select(docs[id_col].alias("id"), cut_texts(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("p"))
     return cut_up.select("id", F.explode("p").alias("p")).select("id", "p.*")
 
