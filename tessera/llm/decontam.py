@@ -163,7 +163,8 @@ def _search(block, error_rate: float, min_chars: int):
         find = _matcher(block.value, error_rate, min_chars).find
         return pd.Series([find(t) for t in texts.tolist()], dtype="object")
 
-    return hits
+    # Called nondeterministic, or the filter that Spark infers below an explode would run it a second time.
+    return hits.asNondeterministic()
 
 
 def _with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, error_rate: float, min_chars: int, block_chars: int, name: str) -> DataFrame:
