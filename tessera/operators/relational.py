@@ -90,3 +90,11 @@ def label_rules(df: DataFrame, label: str, rules: Sequence[tuple[str, str]], oth
     for word, value in reversed(list(rules)):
         out = F.when(F.contains(F.lower(df[label]), F.lit(word)), value).otherwise(out)
     return out
+
+
+def run_lengths(df: DataFrame, key: str, label: str, order: Sequence[str]) -> DataFrame:
+    """Per key the number of runs of equal neighbouring labels in an order, and the longest."""
+    w = Window.partitionBy(key).orderBy(*order)
+    marked = df.withColumn("__new", F.when(F.lag(label).over(w).eqNullSafe(F.col(label)) & (F.row_number().over(w) > 1), 0).otherwise(1))
+    runs = marked.withColumn("__run", F.sum("__new").over(w)).groupBy(key, "__run").agg(F.count("*").alias("n"))
+    return runs.groupBy(key).agg(F.count("*").alias("runs"), F.max("n").alias("longest"))

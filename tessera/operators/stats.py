@@ -68,3 +68,14 @@ def block_bootstrap(df: DataFrame, block: str, num: str, den: str, draws: int =
     w = b.withColumn("w", weight)
     r = w.groupBy("draw").agg(F.try_divide(F.sum(F.col("a") * F.col("w")), F.sum(F.col("b") * F.col("w"))).alias("r"))
     return r.agg(F.percentile("r", F.lit(0.025)).alias("low"), F.percentile("r", F.lit(0.5)).alias("mid"), F.percentile("r", F.lit(0.975)).alias("high"))
+
+
+def signed_rank(df: DataFrame, difference: str) -> DataFrame:
+    """Wilcoxon's paired test: pairs that differ, sum of the ranks of rising ones, and its z with ties and continuity corrected."""
+    d = df.filter(F.col(difference) != 0).select(F.abs(F.col(difference)).alias("__a"), (F.col(difference) > 0).alias("__up"))
+    t = d.groupBy("__a").agg(F.count("*").alias("m"), F.count_if("__up").alias("up"))
+    before = F.coalesce(F.sum("m").over(Window.orderBy("__a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    s = t.withColumn("r", before + (F.col("m") + 1) / 2.0).agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n"), F.sum(F.col("r") * F.col("up")).alias("w"), F.sum(F.col("m") * (F.col("m") * F.col("m") - 1) / 48.0).alias("ties"))
+    off = F.col("w") - F.col("n") * (F.col("n") + 1) / 4.0
+    sd = F.sqrt(F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24.0 - F.col("ties"))
+    return s.select("n", "w", F.try_divide(off - F.signum(off) * 0.5, sd).alias("z"))

@@ -483,6 +483,24 @@ def histogram(t):
     return t("lineitem").groupBy(F.floor(F.col("l_extendedprice") / 5000).alias("bin")).agg(F.count("*").alias("n"))
 
 
+@_query("""with a as (select o_custkey as k, avg(o_totalprice) as x from orders where o_orderkey % 2 = 0 group by 1), b as (select o_custkey as k, avg(o_totalprice) as y from orders where o_orderkey % 2 = 1 group by 1),
+d as (select round(y - x, 4) as d from a join b using (k)), r as (select d, rank() over (order by abs(d)) + (count(*) over (partition by abs(d)) - 1) / 2.0 as r from d where d <> 0),
+t as (select sum((m * m * m - m) / 48.0) as ties from (select count(*) as m from d where d <> 0 group by abs(d))), s as (select count(*) as n, sum(case when d > 0 then r else 0 end) as w from r),
+o as (select n, w, w - n * (n + 1) / 4.0 as off, sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties) as sd from s cross join t) select n, round(w, 1) as w, round((off - sign(off) * 0.5) / sd, 6) as z from o""")
+def signed_rank(t):
+    o = t("orders").select(F.col("o_custkey").alias("k"), "o_totalprice", "o_orderkey")
+    a = o.filter("o_orderkey % 2 = 0").groupBy("k").agg(F.avg("o_totalprice").alias("x"))
+    b = o.filter("o_orderkey % 2 = 1").groupBy("k").agg(F.avg("o_totalprice").alias("y"))
+    return stats.signed_rank(a.join(b, "k").select(F.round(F.col("y") - F.col("x"), 4).alias("d")), "d").select("n", F.round("w", 1).alias("w"), r6("z").alias("z"))
+
+
+@_query("""with m as (select o_custkey, o_orderstatus, o_orderdate, o_orderkey, lag(o_orderstatus) over (partition by o_custkey order by o_orderdate, o_orderkey) as p from orders),
+r as (select o_custkey, sum(case when p = o_orderstatus then 0 else 1 end) over (partition by o_custkey order by o_orderdate, o_orderkey) as run from m), c as (select o_custkey, run, count(*) as n from r group by 1, 2)
+select o_custkey, count(*) as runs, max(n) as longest from c group by 1""")
+def label_runs(t):
+    return rel.run_lengths(t("orders").select("o_custkey", "o_orderstatus", "o_orderdate", "o_orderkey"), "o_custkey", "o_orderstatus", ["o_orderdate", "o_orderkey"])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _Q["outcome_cascade"](spark, sf_dir)
 

@@ -87,3 +87,13 @@ def test_scans_and_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v long")
     sinks.by_chunk(df, "k", 4, str(tmp_path / "chunks"))
     assert spark.read.option("header", True).csv(str(tmp_path / "chunks"), sep="\t").count() == 2
+
+
+def test_streams(spark, tmp_path):
+    from tessera.streaming import outcomes
+
+    spark.sql("select timestamp'2024-01-01 00:10:00' as ts, 'a' as event_type, 2.0D as value union all select timestamp'2024-01-01 00:50:00', 'a', 3.0D union all select timestamp'2024-01-01 01:10:00', 'b', 1.0D").write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(str(tmp_path / "in"))
+    q = outcomes.windowed_counts(source).writeStream.format("memory").queryName("counted").outputMode("complete").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
+    assert sorted((r.event_type, r.n, r.total) for r in spark.table("counted").collect()) == [("a", 2, 5.0), ("b", 1, 1.0)]
