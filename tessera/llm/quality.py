@@ -1,9 +1,10 @@
 """Quality rules: counts a word-level rule can reject on, and bands of n-gram perplexity per language.
 
-The perplexity comes from a modified Kneser-Ney model of character 4-grams over 32 symbols. Spark counts the 4-grams of
-every whole text; the lower orders follow from those counts. The model is held as sorted key arrays with their values,
-one pair per order, and cannot exceed 32 + 32**2 + 32**3 + 32**4 entries (under 20 MB) on a corpus of any size, so
-it is broadcast. Per language, the quartiles of log perplexity over all documents of `min_words` words or more give the
+The perplexity comes from a modified Kneser-Ney model of character 6-grams over the texts' own code points, none folded.
+Spark counts the 6-grams of every whole text, derives the lower orders and joins up the probabilities; the model grows
+with the corpus. Each 6-gram has its probability with one occurrence of its own taken out of the counts, since the
+texts that are scored are those the model is trained on. Up to MODEL_BOUND entries the model is broadcast as sorted
+arrays of hashed 6-grams; beyond, it stays partitioned and the 6-grams of the texts are joined with it. Per language, the quartiles of log perplexity over all documents of `min_words` words or more give the
 band [q1 - width, q3 + width] with width = reach * max(q3 - q1, floor) + slack / sqrt(characters in words), the last
 part for the spread that a short text's mean has by chance; a document outside is rejected.
 
@@ -22,7 +23,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch
@@ -36,6 +37,11 @@ TABLE_END = 0x3000
 MARKS = {".": 28, ",": 28, ";": 28, ":": 28, "!": 28, "?": 28, "'": 29, '"': 29, "-": 29, "(": 29, ")": 29}
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double"
 MAX_LANGUAGES = 10_000
+#: Characters of an n-gram of the corpus model: two longs of three symbols of 21 bits, a code point and 1 each.
+REACH, POINT_BITS = 6, 21
+POINT = (1 << POINT_BITS) - 1
+MODEL_BOUND = 1 << 23
+COUNT_CHARS = 1 << 22
 
 
 @cache
@@ -75,25 +81,12 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return code[own], sizes
 
 
-def count_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(gram, n) over every whole text; each task ships at most 2**20 sums."""
-
-    def count(batches):
-        total = np.zeros(SIZE**ORDER, np.int64)
-        for b in batches:
-            texts = [t for t in b.column(0).to_pylist() if t]
-            for k in range(0, len(texts), 256):
-                code, _ = grams(texts[k : k + 256])
-                total += np.bincount(code, minlength=SIZE**ORDER)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], ["gram", "n"])
-
-    return docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
 def _discounts(counts: np.ndarray) -> np.ndarray:
     """D for counts 0, 1, 2 and 3 or more, from the counts of counts."""
-    n1, n2, n3, n4 = (int((counts == k).sum()) for k in (1, 2, 3, 4))
+    return discounts(*(int((counts == k).sum()) for k in (1, 2, 3, 4)))
+
+
+def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
     d = [1 - 2 * y * n2 / n1 if n1 and n2 else 0.5, 2 - 3 * y * n3 / n2 if n2 and n3 else 0.75, 3 - 4 * y * n4 / n3 if n3 and n4 else 0.9]
     return np.array([0.0, *(min(max(x, 0.05), k) for x, k in zip(d, (1.0, 2.0, 3.0), strict=True))])
@@ -151,23 +144,133 @@ def log_prob(model: dict[str, list[np.ndarray]], codes: np.ndarray) -> np.ndarra
     return out
 
 
-def log_perplexity(model: dict[str, list[np.ndarray]], texts: list[str], table: np.ndarray) -> np.ndarray:
-    """Mean negative log probability per character; NaN for texts without any. table: scratch of 2**20 values."""
+def char_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The two longs of the 6-gram that ends at each character, zeros before each text, and how many each text has."""
+    points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+    sizes = np.array([len(p) for p in points], np.int64)
+    pad = np.zeros(REACH - 1, np.int64)
+    s = np.concatenate([x for p in points for x in (pad, p.astype(np.int64) + 1)]) if points else pad
+    three = s.copy()
+    three[1:] |= s[:-1] << POINT_BITS
+    three[2:] |= s[:-2] << 2 * POINT_BITS
+    ends = np.arange(sizes.sum()) + np.repeat((REACH - 1) * (np.arange(len(sizes)) + 1), sizes)
+    return three[ends - 3], three[ends], sizes
+
+
+def gram_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hash of a 6-gram."""
+    h = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = ((h ^ (h >> np.uint64(32))) + b.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def count_char_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(a, b, n) over every whole text."""
+
+    def tally(texts):
+        a, b, _ = char_grams(texts)
+        _, at, n = np.unique(gram_key(a, b), return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(a[at], pa.int64()), pa.array(b[at], pa.int64()), pa.array(n, pa.int64())], ["a", "b", "n"])
+
+    def count(batches):
+        held, chars = [], 0
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                if t:
+                    held.append(t)
+                    chars += len(t)
+                if chars >= COUNT_CHARS:
+                    yield tally(held)
+                    held, chars = [], 0
+        if held:
+            yield tally(held)
+
+    return docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def _history(df: DataFrame) -> DataFrame:
+    """ha, hb: the n-gram without its last symbol."""
+    return df.withColumns({"ha": F.expr(f"shiftright(a, {POINT_BITS})"), "hb": F.expr(f"shiftleft(a & {POINT}L, {2 * POINT_BITS}) | shiftright(b, {POINT_BITS})")})
+
+
+def _shorter(df: DataFrame, k: int) -> DataFrame:
+    """la, lb: an n-gram of k symbols without its first."""
+    return df.withColumns({"la": F.expr(f"a & {(1 << POINT_BITS * max(0, k - 4)) - 1}L"), "lb": F.expr(f"b & {(1 << POINT_BITS * min(3, k - 1)) - 1}L")})
+
+
+def train_corpus(counts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b, logp) of every 6-gram: interpolated modified Kneser-Ney, less the one occurrence that is scored.
+
+    p is the plain probability of an n-gram, q that after one of its counts is gone. While other counts of it remain the
+    orders below keep theirs; with the last one its continuation goes too, so that the order below gives its own q."""
+    levels = [scratch.table(counts, "grams6")]
+    for k in range(REACH, 1, -1):
+        levels.append(scratch.table(_shorter(levels[-1], k).groupBy(F.col("la").alias("a"), F.col("lb").alias("b")).agg(F.count("*").alias("n")), f"grams{k - 1}"))
+    one = levels[-1].count() + 1
+    below = counts.sparkSession.createDataFrame([(0, 0, 1.0 / one, 1.0 / one)], "la long, lb long, lp double, lq double")
+    for k, counted in enumerate(reversed(levels), 1):
+        d = discounts(*counted.agg(*[F.count_if(F.col("n") == x) for x in (1, 2, 3, 4)]).first())
+        off = lambda n: f"case when {n} <= 0 then 0D when {n} = 1 then {d[1]}D when {n} = 2 then {d[2]}D else {d[3]}D end"
+        level = _shorter(_history(counted), k)
+        same = Window.partitionBy("ha", "hb")
+        level = level.withColumns({"t": F.sum("n").over(same), "held": F.sum(F.expr(off("n"))).over(same)})
+        p = f"(n - {off('n')} + held * lp) / t"
+        q = f"case when t = 1 then lq else (n - 1 - {off('(n - 1)')} + (held - {off('n')} + {off('(n - 1)')}) * if(n = 1, lq, lp)) / (t - 1) end"
+        both = level.join(below, ["la", "lb"])
+        if k == REACH:
+            model = scratch.table(both.select("a", "b", F.expr(f"cast(ln({q}) as float)").alias("logp")), "model")
+        else:
+            model = scratch.table(both.select(F.col("a").alias("la"), F.col("b").alias("lb"), F.expr(p).alias("lp"), F.expr(q).alias("lq")), f"order{k}")
+        del level, both
+        for done in [counted] + [below] * (k > 1):
+            scratch.drop(done)
+        below = model
+        scratch.settle()
+    return below
+
+
+def log_perplexity(keys: np.ndarray, logp: np.ndarray, texts: list[str]) -> np.ndarray:
+    """Mean negative log probability per character; NaN for texts without any. keys: sorted hashes of the model's 6-grams."""
     out = np.full(len(texts), np.nan)
     for k in range(0, len(texts), 256):
         part = texts[k : k + 256]
-        code, sizes = grams(part)
-        if not len(code):
+        a, b, sizes = char_grams(part)
+        if not len(a):
             continue
-        seen = np.flatnonzero(np.bincount(code, minlength=SIZE**ORDER)).astype(np.uint32)
-        table[seen] = log_prob(model, seen)
-        sums = np.concatenate([[0.0], np.cumsum(table[code])])
+        seen, back = np.unique(gram_key(a, b), return_inverse=True)
+        at, hit = _find(keys, seen)
+        if not hit.all():
+            raise ValueError("texts hold 6-grams that the model was not trained on")
+        sums = np.concatenate([[0.0], np.cumsum(logp[at][back], dtype=np.float64)])
         ends = np.cumsum(sizes)
         with np.errstate(invalid="ignore", divide="ignore"):
             out[k : k + len(part)] = -(sums[ends] - sums[ends - sizes]) / sizes
     return out
 
 
+def joined_perplexity(docs: DataFrame, model: DataFrame, text_col: str = "text") -> DataFrame:
+    """(text_hash, log_ppl) of texts with characters, by a join with a model that is too large to broadcast."""
+
+    def occur(batches):
+        for batch in batches:
+            hashes, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for h, t in zip(hashes, texts, strict=True):
+                if t:
+                    a, b, _ = char_grams([t])
+                    _, at, n = np.unique(gram_key(a, b), return_index=True, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), h), pa.int64()), pa.array(a[at], pa.int64()), pa.array(b[at], pa.int64()), pa.array(n, pa.int64())], ["text_hash", "a", "b", "n"])
+
+    text = docs[text_col].cast("string")
+    grams_of = docs.select(_text_hash(text).alias("text_hash"), text.alias("text")).mapInArrow(occur, "text_hash long, a long, b long, n long")
+    # Repeated texts add to both sums alike.
+    return grams_of.hint("merge").join(model, ["a", "b"]).groupBy("text_hash").agg((-F.sum(F.col("n") * F.col("logp").cast("double")) / F.sum("n")).alias("log_ppl"))
+
+
+def _text_hash(text):
+    return F.xxhash64(text)
+
+
 def word_counts(text: str) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of one text."""
     words = WORD.findall(text)
@@ -184,22 +287,40 @@ def word_counts(text: str) -> tuple[int, int, int, int, int]:
     return len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> dict[str, list[np.ndarray]]:
-    counted = count_grams(docs, text_col).toPandas()
-    return train(counted["gram"].to_numpy(), counted["n"].to_numpy())
+def fit(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> DataFrame:
+    return train_corpus(count_char_grams(docs, text_col), scratch)
 
 
-def _scorer(docs: DataFrame, model):
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def _scorer(docs: DataFrame, model: DataFrame, text_col: str, scratch: Scratch):
+    """Adds the features of texts to rows of docs: a function of (columns to keep) that gives a DataFrame."""
+    text = docs[text_col].cast("string")
+    whole = model.count() <= MODEL_BOUND
+    if whole:
+        got = model.toArrow()
+        keys = gram_key(got["a"].to_numpy(), got["b"].to_numpy())
+        order = np.argsort(keys)
+        held = docs.sparkSession.sparkContext.broadcast((keys[order], got["logp"].to_numpy().astype(np.float32)[order]))
+        del got
+    else:
+        held = None
+        ppl = scratch.table(joined_perplexity(docs, model, text_col), "perplexity")
 
     @F.pandas_udf(FEATURES)
     def features(batches: "pd.Series") -> pd.DataFrame:
         texts = batches.fillna("").tolist()
         out = pd.DataFrame([word_counts(t) for t in texts], columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"], dtype="int64")
-        out["log_ppl"] = log_perplexity(held.value, texts, np.zeros(SIZE**ORDER, np.float64))
+        out["log_ppl"] = np.nan if held is None else log_perplexity(*held.value, texts)
         return out
 
-    return features
+    def add(*columns) -> DataFrame:
+        out = docs.select(*columns, features(text).alias("f"), *([] if whole else [_text_hash(text).alias("__tessera_text")]))
+        kept = out.columns[: len(columns)]
+        if whole:
+            return out.select(*kept, "f.*")
+        out = out.select(*kept, "f.*", "__tessera_text").drop("log_ppl")
+        return out.join(ppl.hint("merge"), F.col("__tessera_text") == F.col("text_hash"), "left").drop("__tessera_text", "text_hash")
+
+    return add
 
 
 FAILED = "(n_words < {0} or 100 * n_repeat_words > 50 * n_words)"
@@ -231,9 +352,8 @@ def _kept(min_words: int, slack: float):
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = 50, reach: float = 1.0, floor: float = 0.03, slack: float = 2.5, scratch: Scratch | None = None) -> DataFrame:
     """One row per document: counts, log_ppl, base_failed and kept."""
     scratch = scratch or Scratch(docs.sparkSession)
-    features = _scorer(docs, fit(docs, text_col))
-    scored = docs.select(docs[id_col].alias("id"), F.coalesce(docs[lang_col].cast("string"), F.lit("")).alias("language"), features(docs[text_col].cast("string")).alias("f")).select("id", "language", "f.*")
-    scored = scratch.table(scored, "scored")
+    add = _scorer(docs, fit(docs, scratch, text_col), text_col, scratch)
+    scored = scratch.table(add(docs[id_col].alias("id"), F.coalesce(docs[lang_col].cast("string"), F.lit("")).alias("language")), "scored")
     bands = scratch.table(_bands(scored, min_words, reach, floor), "bands")
     return _with_bands(scored, bands).select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.expr(FAILED.format(min_words)).alias("base_failed"), _kept(min_words, slack).alias("kept"), "log_ppl")
 
@@ -241,9 +361,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def filter_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_words: int = 50, reach: float = 1.0, floor: float = 0.03, slack: float = 2.5, scratch: Scratch | None = None) -> DataFrame:
     """The rows of docs that `score` keeps, with their columns; texts are scored again rather than shuffled."""
     scratch = scratch or Scratch(docs.sparkSession)
-    features = _scorer(docs, fit(docs, text_col))
+    add = _scorer(docs, fit(docs, scratch, text_col), text_col, scratch)
     language = F.coalesce(docs[lang_col].cast("string"), F.lit("")).alias("language")
-    scored = docs.select(language, features(docs[text_col].cast("string")).alias("f")).select("language", "f.n_words", "f.log_ppl")
-    bands = scratch.table(_bands(scored, min_words, reach, floor), "bands")
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), language, features(docs[text_col].cast("string")).alias("f")).select("row", "language", "f.*")
-    return _with_bands(whole, bands).filter(_kept(min_words, slack)).select("row.*")
+    bands = scratch.table(_bands(add(language), min_words, reach, floor), "bands")
+    return _with_bands(add(F.struct(*[docs[c] for c in docs.columns]).alias("row"), language), bands).filter(_kept(min_words, slack)).select("row.*")

@@ -372,3 +372,62 @@ def test_scratch_is_in_the_shared_folder(spark):
     s = Scratch(spark)
     assert s.base.startswith(spark.conf.get("spark.checkpoint.dir"))
     s.close()
+
+
+def test_quality_model_grows_and_reads_real_characters(spark, tmp_path, monkeypatch):
+    r = random.Random(8)
+    lexicon = ["".join(chr(r.randint(0x430, 0x44F)) for _ in range(r.randint(3, 8))) for _ in range(80)]
+    texts = [" ".join(r.choice(lexicon) for _ in range(120)) for _ in range(60)]
+    shuffled = "".join(r.sample(texts[0], len(texts[0])))
+    texts += [shuffled, "ж" * len(texts[0]), texts[3], "", None]
+    df = spark.createDataFrame([(i, t, "ru") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    grams = Counter()
+    for t in texts:
+        padded = "\0" * 5 + (t or "")
+        grams.update(padded[i : i + 6] for i in range(len(t or "")))
+    s = Scratch(spark)
+    model = quality.fit(df, s)
+    assert model.count() == len(grams)
+    assert model.selectExpr("count_if(logp is null or isnan(logp) or logp > 0)").first()[0] == 0
+    got = {x.doc_id: x for x in quality.score(df).collect()}
+    assert all(got[i].kept for i in range(60)) and not got[60].kept and not got[61].kept
+    assert got[60].log_ppl > 1.5 * max(got[i].log_ppl for i in range(60))
+    assert got[63].log_ppl is None and got[64].log_ppl is None
+    monkeypatch.setattr(quality, "MODEL_BOUND", 0)
+    joined = {x.doc_id: x for x in quality.score(df).collect()}
+    assert len(joined) == len(texts)
+    for i, x in joined.items():
+        assert x[:-1] == got[i][:-1] and (x.log_ppl is None) == (got[i].log_ppl is None) and (x.log_ppl is None or math.isclose(x.log_ppl, got[i].log_ppl, rel_tol=1e-5))
+    assert Counter(x.doc_id for x in quality.filter_quality(df).collect()) == Counter(i for i in joined if joined[i].kept)
+
+
+def test_corpus_model_sums_to_one_without_the_scored_occurrence(spark):
+    """Against a plain recount: with one occurrence gone, probabilities of all next symbols and of the unseen add up."""
+    text = "the cat sat on the mat and the dog sat too " * 2
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    s = Scratch(spark)
+    got = {(x.a, x.b): x.logp for x in quality.fit(df, s).collect()}
+    padded = "\0" * 5 + text
+    levels = {6: Counter(padded[i : i + 6] for i in range(len(text)))}
+    for k in range(5, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    symbols = sorted(levels[1])
+    d = {k: quality.discounts(*(sum(n == x for n in c.values()) for x in (1, 2, 3, 4))) for k, c in levels.items()}
+
+    def p(counts, gram, k):
+        if k == 0:
+            return 1 / (len(symbols) + 1)
+        c = counts[k]
+        same = [c[gram[:-1] + x] for x in symbols if c.get(gram[:-1] + x, 0) > 0]
+        low = p(counts, gram[1:], k - 1)
+        return (max(c.get(gram, 0) - d[k][min(c.get(gram, 0), 3)], 0) + sum(d[k][min(n, 3)] for n in same) * low) / sum(same) if same else low
+
+    for gram in list(levels[6])[::3]:
+        less = {k: Counter(c) for k, c in levels.items()}
+        for k in range(6, 0, -1):
+            less[k][gram[6 - k :]] -= 1
+            if less[k][gram[6 - k :]] > 0:
+                break
+        a, b, _ = quality.char_grams([gram.replace("\0", "")])
+        key = (int(a[-1]), int(b[-1]))
+        assert math.isclose(got[key], math.log(p(less, gram, 6)), rel_tol=1e-4)
