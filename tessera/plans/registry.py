@@ -398,7 +398,7 @@ def spearman(t):
 @_query("""with p as (select p_brand, p_partkey, (p_partkey * 7919 % 1000 + 1) / 1001.0 as p from part where p_partkey <= 2000), r as (select *, rank() over (partition by p_brand order by p) + count(*) over (partition by p_brand, p) - 1 as r, count(*) over (partition by p_brand) as n from p),
 q as (select *, p * n / r as q0 from r) select p_brand, p_partkey, round(least(1.0, min(q0) over (partition by p_brand order by p desc range between unbounded preceding and current row)), 8) as q from q""")
 def bh_adjust(t):
-    p = t("part").filter("p_partkey <= 2000").select("p_brand", "p_partkey", F.expr("(p_partkey * 7919 % 1000 + 1) / 1001.0D").alias("p"))
+    p = t("part").select("p_brand", "p_partkey", F.expr("(p_partkey * 7919 % 1000 + 1) / 1001.0D").alias("p"))
     return stats.bh_adjust(p, "p", ["p_brand"]).select("p_brand", "p_partkey", F.round("q", 8).alias("q"))
 
 

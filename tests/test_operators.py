@@ -97,3 +97,17 @@ def test_streams(spark, tmp_path):
     q = outcomes.windowed_counts(source).writeStream.format("memory").queryName("counted").outputMode("complete").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     assert q.awaitTermination(60)
     assert sorted((r.event_type, r.n, r.total) for r in spark.table("counted").collect()) == [("a", 2, 5.0), ("b", 1, 1.0)]
+
+
+def test_bh_adjust_query_takes_all_parts(spark, tmp_path):
+    from tessera.plans import registry
+
+    parts = [(f"b{k % 3}", k) for k in range(1900, 2150)]
+    spark.createDataFrame(parts, "p_brand string, p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    want = {}
+    for brand in ("b0", "b1", "b2"):
+        p = {k: (k * 7919 % 1000 + 1) / 1001 for b, k in parts if b == brand}
+        raw = {k: x * len(p) / sum(y <= x for y in p.values()) for k, x in p.items()}
+        want |= {k: min(1.0, min(raw[j] for j in p if p[j] >= x)) for k, x in p.items()}
+    got = {r.p_partkey: r.q for r in registry.queries()["bh_adjust"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-7 for k in want)
