@@ -111,3 +111,14 @@ def test_bh_adjust_query_takes_all_parts(spark, tmp_path):
         want |= {k: min(1.0, min(raw[j] for j in p if p[j] >= x)) for k, x in p.items()}
     got = {r.p_partkey: r.q for r in registry.queries()["bh_adjust"](spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-7 for k in want)
+
+
+def test_coassignment_query_takes_all_suppliers(spark, tmp_path):
+    from tessera.plans import registry
+
+    keys = range(190, 230)
+    spark.createDataFrame([(k,) for k in keys], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    label = lambda k, seed: (k * 2654435761 + seed * 40503) % 4294967296 % 7
+    same = {(i, j): sum(label(i, s) == label(j, s) for s in range(1, 6)) for i in keys for j in keys if i < j}
+    got = {(r.i, r.j): r.f for r in registry.queries()["coassignment_f"](spark, str(tmp_path)).collect()}
+    assert got == {k: n / 5 for k, n in same.items() if n}
