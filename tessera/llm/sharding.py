@@ -5,8 +5,10 @@ then the rest by a 64-bit hash of the text. The smallest feasible shard capacity
 search with a greedy check, and the order is cut there.
 
 The groups are never collected. The driver sees sums per hash range (at most 2**first_bits of them) and, level by
-level, finer sums of the few ranges in which a cut can still fall, until every such range holds a single group; the
-result is the same as on the whole list.
+level, finer sums of the ranges in which a cut can still fall, at most 2**first_bits again, until every such range holds
+a single group; the result is the same as on the whole list. Groups of over 1/HEAVY of all bytes, fewer than HEAVY of
+them, stand alone from the start: a range that holds one would leave the place of every later cut open by its size.
+The ranges to look into go to the workers as a table, broadcast below those bounds.
 
 Defined results: null text counts as empty (size 1, CRC 0) and shares the group of the empty text; repeated rows stay
 and get slots of their own; an empty table gives an empty result; other columns are not read. With fewer groups than
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, sqrt_buckets
 
+HEAVY = 4096
+
 
 @dataclass
 class Span:
@@ -67,9 +71,24 @@ def _prefix(spans: list[Span]) -> list[int]:
     return out
 
 
-def _collect(groups: DataFrame, shift: int) -> list[Span]:
-    rows = groups.groupBy(F.shiftright("key", shift).alias("b")).agg(F.min("key").alias("low"), F.sum("bytes").alias("size"), F.count("*").alias("groups")).collect()
-    return sorted((Span(r.low, shift, r.size, r.groups) for r in rows), key=lambda s: s.low)
+def _collect(groups: DataFrame, shift: int, heavy: list[int], within: tuple[int, set[int]] | None = None) -> list[Span]:
+    """Sums of groups per hash range, in the wider ranges `within` (a shift and its ranges) where given; a heavy key ends
+    one part of its range and begins another."""
+    session = groups.sparkSession
+    if within is not None:
+        wide = session.createDataFrame([(b,) for b in sorted(within[1])], "wide long")
+        groups = groups.join(F.broadcast(wide), F.shiftright("key", within[0]) == F.col("wide"), "left_semi")
+    groups = groups.withColumn("b", F.shiftright("key", shift))
+    inside: dict[int, list[int]] = {}
+    for k in heavy:
+        inside.setdefault(k >> shift, []).append(k)
+    if inside:
+        groups = groups.join(F.broadcast(session.createDataFrame(list(inside.items()), "b long, own array<long>")), "b", "left").filter("not coalesce(array_contains(own, key), false)")
+        groups = groups.withColumn("part", F.expr("coalesce(size(filter(own, x -> x < key)), 0)"))
+    else:
+        groups = groups.withColumn("part", F.lit(0))
+    rows = groups.groupBy("b", "part").agg(F.min("key").alias("low"), F.sum("bytes").alias("size"), F.count("*").alias("groups")).collect()
+    return [Span(r.low, shift, r.size, r.groups) for r in rows]
 
 
 def _balanced(prefix: list[int], spans: list[Span], capacity: int, n: int) -> tuple[list[int], set[int]]:
@@ -99,10 +118,13 @@ def _balanced(prefix: list[int], spans: list[Span], capacity: int, n: int) -> tu
     return cuts, coarse
 
 
-def minimax_cuts(groups: DataFrame, n: int, first_bits: int = 16, more_bits: int = 9) -> tuple[list[int | None], int, int]:
+def minimax_cuts(groups: DataFrame, n: int, first_bits: int = 16) -> tuple[list[int | None], int, int]:
     """Keys at which shards 1.. begin over (key, bytes) ordered by key, how many shards, and the capacity."""
-    top = groups.agg(F.max("bytes")).first()[0] or 0
-    spans = _collect(groups, 64 - first_bits)
+    top, total = groups.agg(F.max("bytes"), F.sum("bytes")).first()
+    top, total = top or 0, total or 0
+    alone = [Span(r.key, 0, r.bytes, 1) for r in groups.filter(F.col("bytes") * HEAVY > total).select("key", "bytes").collect()]
+    heavy = sorted(s.low for s in alone)
+    spans = sorted(alone + _collect(groups, 64 - first_bits, heavy), key=lambda s: s.low)
     while True:
         prefix = _prefix(spans)
         low, high = _least(prefix, spans, n, top, True), _least(prefix, spans, n, top, False)
@@ -113,20 +135,14 @@ def minimax_cuts(groups: DataFrame, n: int, first_bits: int = 16, more_bits: int
             cuts, open_ = _balanced(prefix, spans, capacity, n)
         if not open_:
             return [spans[j].low if j < len(spans) else None for j in cuts], n, capacity
-        kept, finer = [s for j, s in enumerate(spans) if j not in open_], []
-        for shift in {spans[j].shift for j in open_}:
-            buckets = [spans[j].low >> shift for j in sorted(open_) if spans[j].shift == shift]
-            runs: list[list[int]] = []
-            for b in buckets:
-                if runs and b == runs[-1][1] + 1:
-                    runs[-1][1] = b
-                else:
-                    runs.append([b, b])
-            inside = F.lit(False)
-            for a, b in runs:
-                inside = inside | F.shiftright("key", shift).between(a, b)
-            finer += _collect(groups.filter(inside), max(0, shift - more_bits))
-        spans = sorted(kept + finer, key=lambda s: s.low)
+        ranges: dict[int, set[int]] = {}
+        for j in open_:
+            ranges.setdefault(spans[j].shift, set()).add(spans[j].low >> spans[j].shift)
+        kept = [s for s in spans if s.shift == 0 or s.low >> s.shift not in ranges.get(s.shift, ())]
+        bits = max(1, first_bits - sum(map(len, ranges.values())).bit_length())
+        for shift, buckets in ranges.items():
+            kept += _collect(groups, max(0, shift - bits), heavy, (shift, buckets))
+        spans = sorted(kept, key=lambda s: s.low)
 
 
 def shard(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, first_bits: int = 16) -> DataFrame:
