@@ -10,8 +10,9 @@ Scripts, styles and other elements without text of their own never become blocks
 white space inside a block becomes one space, blocks are trimmed and joined by \\n in page order.
 
 Defined results: null html counts as empty and gives the empty text with 0 characters, as does a page without main
-blocks; repeated rows each get a row; an empty table gives an empty result; other columns are not read. <br> is white
-space inside its block.
+blocks; a very long page is read whole, in a batch of its own; repeated rows each get a row; an empty table gives an
+empty result; other columns are not read. <br> is white space inside its block. A tag whose quote never closes takes the
+rest of the page, as in browsers.
 """
 
 from __future__ import annotations
@@ -38,9 +39,10 @@ CLOSES_P = frozenset("address article aside blockquote details div dl fieldset f
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table tr article section div main body td aside nav".split())
 
-ATTRIBUTES = r"""[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*"""
-TAG = re.compile(rf"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<({"|".join(RAW)})\b{ATTRIBUTES}>.*?(?:</\1\b[^>]*>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)({ATTRIBUTES})>""", re.S | re.I)
-NAMED = re.compile(r"""(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+# Attributes as browsers read them: a quote counts only after "=", and one that never closes takes the rest of the page.
+ATTRIBUTES = r"""(?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|(?!["'])[^\s>]*+))?+|=)*+"""
+TAG = re.compile(rf"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</(?![A-Za-z])[^>]*(?:>|\Z)|<({"|".join(RAW)})(?=[\s/>]){ATTRIBUTES}>.*?(?:</\1\b[^>]*>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)({ATTRIBUTES})(?:>|\Z)""", re.S | re.I)
+NAMED = re.compile(r"""(?<![\w-])(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r"[a-z]+")
 
 HASHED, WIDTH, HIDDEN = 1024, 32, 24
@@ -143,8 +145,8 @@ def _slot(name: str) -> int:
 
 @lru_cache(maxsize=20_000)
 def _path_slots(path: tuple[str, ...]) -> tuple[int, ...]:
-    """Of the innermost names; inline elements say nothing about a block."""
-    return tuple(_slot("p" + n) for n in [n for n in path if n not in INLINE][-12:]) or (_slot("p"),)
+    """Of all names; inline elements say nothing about a block."""
+    return tuple(_slot("p" + n) for n in path if n not in INLINE) or (_slot("p"),)
 
 
 EDGE = ".,:;!?()|"
@@ -159,9 +161,8 @@ def page_input(page_blocks: list[tuple[tuple[str, ...], str, float]]) -> tuple[n
         paths += own
         n_paths.append(len(own))
         w = text.split()
-        near = w[:8] + w[-4:] if len(w) > 12 else w
-        words += [_slot("w" + x.strip(EDGE)) for x in near]
-        n_words.append(len(near))
+        words += [_slot("w" + x.strip(EDGE)) for x in w]
+        n_words.append(len(w))
         sizes.append((math.log1p(len(text)) / 6, math.log1p(len(w)) / 4, link, text[-1] in ".!?…", i / last, 1.0))
     return np.array(paths), np.array(words), np.array(n_paths), np.array(n_words), np.array(sizes, np.float32).reshape(-1, SIZES)
 
