@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-ARROW_ROWS = 512
+ARROW_ROWS, ARROW_BYTES = 512, 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -33,6 +33,7 @@ def small_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, ARROW_ROWS)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 class Scratch:

@@ -6,16 +6,19 @@ groups. Two numbers come from the groups:
 * How often each group occurs over the whole corpus orders shingles, rare groups first. Two linked sets share one of
   their n - ceil(n * similarity) + 1 first shingles in any common order, so equal first shingles find every link.
 * A node's counts in `DIMENSIONS` groups are a point. The overlap of two sets is at most the sum over coordinates of the
-  smaller count. Points that share a first shingle and are not joined yet are tiled, in order of size, into leaves of
-  an R-tree with bounding boxes; pairs of leaves whose boxes cannot reach the overlap are dropped, then pairs of points,
-  and the rest meet by counts in as many groups as a set has shingles, then on the sets.
+  smaller count.
 
-A tree over all points alone prunes nothing: the counts of unrelated long texts differ less than a link allows (the
-reason is in the README), so it works inside the blocks that first shingles make.
+A first shingle that several nodes have gathers them around its smallest node, the centre. A node keeps one row for each
+of its centres, however many shingles led there, so a family of near copies stays a short table. Each node first meets
+the centre it shares most with; what links becomes one component. The members of a centre that still lie in several
+components are sorted by component and size and cut into leaves of an R-tree, LEAF of them at most, with the upper
+corner of their points. Pairs of leaves of one component, or whose corners or sizes cannot reach the overlap, are
+dropped. The other pairs of leaves meet in a worker, which bounds pairs of points, counts overlaps of sets exactly where
+the bound allows a link, and gives only links that join two components: at most one for each member of the two leaves.
+Pairs of members are never rows.
 
-No block is expanded into its pairs at once. A block's members first meet its smallest node: a pair for each member.
-What these pairs link becomes one component; only members of different components meet in the leaves. Links are never
-dropped: a pair left out is either inside one component already or cannot reach the overlap.
+A tree over all points alone prunes nothing: the counts of unrelated long texts differ less than a link allows (the
+reason is in the README), so it works inside the families that first shingles make.
 
 Defined results: as words count runs of characters other than [\\x20\\x09-\\x0D], A-Z in lower case. Null and empty
 texts, and texts without words, have an empty set and are linked with nothing. Repeated rows are copies and get the
@@ -30,9 +33,9 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, BooleanType
+from pyspark.sql.types import BooleanType
 
 from tessera.llm.common import Scratch
 from tessera.llm.shingles import mix, set_hash, shingle_sets
@@ -41,7 +44,8 @@ PERCENT = 75  # a link: 100 * intersection >= PERCENT * union
 GROUP_BITS = 20
 DIMENSIONS = 256
 LEAF = 64
-SLICES = 16
+LEAF_BYTES = 1 << 18
+LEAST_SLICES, MOST_SLICES = 16, 1024
 CHUNK = 256
 
 
@@ -95,8 +99,12 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def group_levels(nodes: DataFrame, bits: int = GROUP_BITS) -> np.ndarray:
     """Per group of shingles: 0, or how many doublings its corpus count lies above what chance gives; 2**bits bytes.
 
-    Each task ships its counts in slices, which are summed slice by slice; the levels alone come to the driver."""
+    Each task ships its counts in slices, which are summed slice by slice in as many tasks as the number of files asks
+    for; the levels alone come to the driver."""
     size = 1 << bits
+    slices = LEAST_SLICES
+    while slices < min(MOST_SLICES, size, len(nodes.inputFiles()) // 4):
+        slices *= 2
 
     def count(batches):
         total = np.zeros(size, np.uint32)
@@ -105,8 +113,8 @@ def group_levels(nodes: DataFrame, bits: int = GROUP_BITS) -> np.ndarray:
                 sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(1)]
                 if sets:
                     total += np.bincount((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), minlength=size).astype(np.uint32)
-        step = size // SLICES
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([total[i * step : (i + 1) * step].tobytes() for i in range(SLICES)], pa.binary())], ["slice", "counts"])
+        step = size // slices
+        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([total[i * step : (i + 1) * step].tobytes() for i in range(slices)], pa.binary())], ["slice", "counts"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -120,18 +128,18 @@ def group_levels(nodes: DataFrame, bits: int = GROUP_BITS) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(out, pa.binary())], ["slice", "levels"])
 
     counts = _members(nodes).mapInArrow(count, "slice int, counts binary")
-    rows = counts.repartition(SLICES, "slice").mapInArrow(add, "slice int, levels binary").collect()
+    rows = counts.repartition(slices, "slice").mapInArrow(add, "slice int, levels binary").collect()
     out = np.zeros(size, np.uint8)
     for r in rows:
-        out[r[0] * (size // SLICES) : (r[0] + 1) * (size // SLICES)] = np.frombuffer(r[1], np.uint8)
+        out[r[0] * (size // slices) : (r[0] + 1) * (size // slices)] = np.frombuffer(r[1], np.uint8)
     return out
 
 
 def _blocks(nodes: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
-    """(key, node, center): members of blocks of two nodes or more, each with the smallest node its task or bucket knew.
+    """(key, node, center, top): members of blocks of two nodes or more, each with the smallest node its task or bucket knew.
 
     Tasks meet equal keys themselves first and ship one node for them, so that a key reaches its bucket at most once
-    from each task however many documents have it; their own members pass through dealt evenly."""
+    from each task however many documents have it (top: the rows made there); their own members pass through dealt evenly."""
     held = nodes.sparkSession.sparkContext.broadcast(levels)
     bits = int(levels.size).bit_length() - 1
 
@@ -181,9 +189,10 @@ def _blocks(nodes: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
             part = blobs[i : i + 64]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int32()), pa.array([x[1] for x in part], pa.bool_()), pa.array([x[2] for x in part], pa.binary())], ["bucket", "ready", "data"])
 
-    def rows(key, node, center):
+    def rows(key, node, center, top):
         for i in range(0, len(key), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000], pa.int64()) for x in (key, node, center)], ["key", "node", "center"])
+            part = [pa.array(x[i : i + 100_000], pa.int64()) for x in (key, node, center)]
+            yield pa.RecordBatch.from_arrays([*part, pa.array(np.full(len(part[0]), top))], ["key", "node", "center", "top"])
 
     def meet(batches):
         got: dict[int, list[np.ndarray]] = {}
@@ -193,7 +202,7 @@ def _blocks(nodes: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
                 data = np.frombuffer(data.as_buffer(), np.int64)
                 if ready.as_py():
                     x = data.reshape(-1, 3)
-                    yield from rows(x[:, 0].copy(), x[:, 1].copy(), x[:, 2].copy())
+                    yield from rows(x[:, 0].copy(), x[:, 1].copy(), x[:, 2].copy(), False)
                     continue
                 i = i.as_py()
                 if last is not None and i != last:
@@ -206,16 +215,23 @@ def _blocks(nodes: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
     def joined(parts):
         x = np.concatenate(parts)
         _, _, mk, mn, mc = smallest(x[:, 0].copy(), x[:, 1].copy())
-        yield from rows(mk, mn, mc)
+        yield from rows(mk, mn, mc, True)
 
     shipped = _members(nodes).mapInArrow(ship, "bucket int, ready boolean, data binary")
-    return shipped.repartition(buckets, "bucket").sortWithinPartitions("ready", "bucket").mapInArrow(meet, "key long, node long, center long")
+    return shipped.repartition(buckets, "bucket").sortWithinPartitions("ready", "bucket").mapInArrow(meet, "key long, node long, center long, top boolean")
+
+
+def _stars(blocks: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, center, shared): every node once for each smallest node of a block it is in. A task's own centre gives way to its bucket's."""
+    final = blocks.filter("top and node != center").select("key", F.col("node").alias("center"), F.col("center").alias("final")).distinct()
+    own = blocks.filter("not top").join(final.hint("merge"), ["key", "center"], "left").select("node", F.coalesce("final", "center").alias("center"))
+    every = own.union(blocks.filter("top").select("node", "center")).filter("node != center")
+    return scratch.table(every.groupBy("node", "center").agg(F.count("*").alias("shared")), "stars")
 
 
-def _involved(pairs: DataFrame) -> np.ndarray:
-    """A bitmap of places in which the nodes of (a, b) fall: some 16 for each, 2**26 (8 MB) at most."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
-    bits = min(26, max(16, (16 * pairs.count()).bit_length()))
+def _involved(nodes: DataFrame) -> np.ndarray:
+    """A bitmap of places in which the nodes of (node) fall: some 16 for each, 2**26 (8 MB) at most."""
+    bits = min(26, max(16, (16 * nodes.count()).bit_length()))
     at = F.pmod("node", F.lit(1 << bits))
     words = nodes.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(node, {1 << bits}) & 63 as int))")).alias("v")).toPandas()
     out = np.zeros(1 << (bits - 6), np.int64)
@@ -223,21 +239,17 @@ def _involved(pairs: DataFrame) -> np.ndarray:
     return out
 
 
-def _sets(nodes: DataFrame, bitmap: np.ndarray, fine: bool = False) -> DataFrame:
-    """(node, members) of the nodes in the bitmap, each once, partitioned by node; fine: their counts instead of the sets."""
+def _sets(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, members) of the nodes of `wanted` and a few others, each once, partitioned by node."""
+    bitmap = _involved(wanted)
     held = nodes.sparkSession.sparkContext.broadcast(bitmap)
     places = bitmap.size * 64
 
     def run(batches):
-        # One function, so that a task holds one Python worker.
         for whole in batches:
             for b in _chunks(whole):
                 at = b.column(0).to_numpy() % places
-                b = b.filter(pa.array((held.value[at >> 6] >> (at & 63) & 1).astype(bool)))
-                if fine:
-                    counts = [fine_counts(np.frombuffer(x.as_buffer(), np.uint64)).tobytes() for x in b.column(1)]
-                    b = pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.binary())], ["node", "members"])
-                yield b
+                yield b.filter(pa.array((held.value[at >> 6] >> (at & 63) & 1).astype(bool)))
 
     return _members(nodes).mapInArrow(run, "node long, members binary").groupBy("node").agg(F.first("members").alias("members"))
 
@@ -256,38 +268,6 @@ def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="bool")
 
 
-@F.pandas_udf(BooleanType())
-def _points_meet(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-    out = []
-    for x, y, i, j in zip(a, b, n, m, strict=True):
-        x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-        # A coordinate that reached its highest value may stand for more; it then bounds nothing.
-        bound = i + j if max(x.max(), y.max()) == 255 else int(np.minimum(x, y).sum(dtype=np.int64))
-        out.append(bound >= least_overlap(i, j))
-    return pd.Series(out, dtype="bool")
-
-
-def fine_counts(members: np.ndarray) -> np.ndarray:
-    """Counts of a set in as many groups as it has shingles, rounded up to a power of two, held at 255: an eighth of its size."""
-    bits = max(8, (len(members) - 1).bit_length())
-    return np.minimum(np.bincount((mix(members) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
-
-
-def fine_bound(x: np.ndarray, y: np.ndarray) -> bool:
-    """Whether sets with these counts can be linked; the finer counts are added up to the groups of the coarser."""
-    if max(x.max(), y.max()) == 255:
-        return True
-    if len(x) > len(y):
-        x, y = y, x
-    y = y.reshape(len(x), -1).sum(1, dtype=np.int64)
-    return int(np.minimum(x, y).sum(dtype=np.int64)) >= least_overlap(int(x.sum(dtype=np.int64)), int(y.sum()))
-
-
-@F.pandas_udf(BooleanType())
-def _fine_meet(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([fine_bound(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) for x, y in zip(a, b, strict=True)], dtype="bool")
-
-
 @F.pandas_udf(BooleanType())
 def _boxes_meet(high_a: pd.Series, high_b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
     """n, m: the smallest sizes in the two leaves. The overlap of any two points is at most the sum of the smaller upper corners."""
@@ -299,30 +279,17 @@ def _boxes_meet(high_a: pd.Series, high_b: pd.Series, n: pd.Series, m: pd.Series
     return pd.Series(out, dtype="bool")
 
 
-@F.pandas_udf(BinaryType())
-def _corner(points: pd.Series) -> pd.Series:
-    """Upper corner of the box around the points of a leaf, LEAF of them at most."""
-    return pd.Series([np.max([np.frombuffer(p, np.uint8) for p in leaf], axis=0).tobytes() for leaf in points], dtype="object")
-
-
-def _meeting(pairs: DataFrame, nodes: DataFrame, test, fine: bool, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) that pass a test of both sets. Both ends read one exchange; sets grow with the corpus and are never broadcast."""
-    sets = _sets(nodes, _involved(pairs), fine)
+def _verified(pairs: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """The linked ones of (a, b). Both ends read one exchange; sets grow with the corpus and are never broadcast."""
+    sets = _sets(nodes, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))))
     one = sets.select(F.col("node").alias("a"), F.col("members").alias("set_a"))
     two = sets.select(F.col("node").alias("b"), F.col("members").alias("set_b"))
     both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b")
-    out = scratch.table(both.filter(test("set_a", "set_b")).select("a", "b"), "meeting")
+    out = scratch.table(both.filter(_linked("set_a", "set_b")).select("a", "b"), "links")
     scratch.settle()
     return out
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, scratch: Scratch, fine: bool = False) -> DataFrame:
-    """The linked ones of (a, b); fine: pairs that finer counts rule out go before their sets move."""
-    if fine:
-        pairs = _meeting(pairs, nodes, _fine_meet, True, scratch)
-    return _meeting(pairs, nodes, _linked, False, scratch)
-
-
 def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, label): the smallest node of its component, for every node that a link (a, b) touches.
 
@@ -349,27 +316,124 @@ def _labelled(blocks: DataFrame, labels: DataFrame | None) -> DataFrame:
     return blocks.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _leaf_pairs(open_blocks: DataFrame, points: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b): pairs of nodes of one block and different components that the boxes and the points let through.
-
-    A block of one leaf has nothing to prune by boxes; only larger ones carry points into the leaves."""
-    members = open_blocks.select("key", "node", "label").distinct().join(points.select("node", "n"), "node")
-    leaves = members.withColumn("leaf", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("n", "node")) - 1) / LEAF))
-    leaves = scratch.table(leaves, "leaves")
-    large = scratch.table(leaves.filter("leaf > 0").select("key").distinct(), "large")
-    tiled = leaves.join(large, "key", "left_semi").join(points.select("node", "point"), "node")
-    boxes = tiled.groupBy("key", "leaf").agg(F.collect_list("point").alias("points"), F.min("n").alias("least"), F.max("n").alias("most"))
-    boxes = scratch.table(boxes.select("key", "leaf", _corner("points").alias("high"), "least", "most"), "boxes")
-    other = boxes.select("key", *[F.col(c).alias(c + "_b") for c in ("leaf", "high", "least", "most")])
-    near = boxes.join(other, "key").filter(f"leaf <= leaf_b and 100 * most >= {PERCENT} * least_b and 100 * most_b >= {PERCENT} * least")
-    near = scratch.table(near.filter(_boxes_meet("high", "high_b", "least", "least_b")).select("key", "leaf", "leaf_b"), "near")
-    right = leaves.select("key", *[F.col(c).alias(c + "_b") for c in ("leaf", "node", "label", "n")])
-    fits = f"label != label_b and node != node_b and 100 * least(n, n_b) >= {PERCENT} * greatest(n, n_b)"
-    of_large = near.join(leaves, ["key", "leaf"]).join(right, ["key", "leaf_b"]).filter(fits)
-    small = leaves.join(large, "key", "left_anti")
-    of_small = small.join(right.drop("leaf_b"), "key").filter(fits + " and node < node_b")
-    ends = [F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")]
-    return _fitting(of_large.select(*ends).union(of_small.select(*ends)).distinct(), points, scratch)
+def _leaves(members: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Leaves of the members (center, node, label) of every centre, in order of component and size; a leaf is named by its first node.
+
+    A distributed sort lays equal centres side by side, over several tasks where they are many; each task cuts its own."""
+    sets = _sets(nodes, members.select("node"))
+    held = scratch.table(members.join(sets.hint("merge"), "node").select("center", "label", "node", "members"), "held")
+    scratch.settle()
+
+    def leaf(center, rows):
+        sets = [np.frombuffer(r[2], np.uint64) for r in rows]
+        points = np.stack([np.frombuffer(_point(x), np.uint8) for x in sets])
+        labels = [r[0] for r in rows]
+        sizes = [len(x) for x in sets]
+        return (center, rows[0][1], labels[0] if min(labels) == max(labels) else None, min(sizes), max(sizes), points.max(0).tobytes(), _packed([r[1] for r in rows], labels, points, sets))
+
+    def cut(batches):
+        def out():
+            kind = [pa.int64()] * 5 + [pa.binary()] * 2
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in ready], k) for i, k in enumerate(kind)], ["center", "leaf", "pure", "least", "most", "high", "data"])
+
+        now, rows, size, ready = None, [], 0, []
+        for whole in batches:
+            for b in _chunks(whole):
+                for center, label, node, m in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                    if rows and (center != now or len(rows) == LEAF or size + len(m) > LEAF_BYTES):
+                        ready.append(leaf(now, rows))
+                        rows, size = [], 0
+                    now = center
+                    rows.append((label, node, m))
+                    size += len(m)
+                    if len(ready) == LEAF:
+                        yield out()
+                        ready = []
+        if rows:
+            ready.append(leaf(now, rows))
+        if ready:
+            yield out()
+
+    order = ["center", "label", F.octet_length("members"), "node"]
+    schema = "center long, leaf long, pure long, least long, most long, high binary, data binary"
+    leaves = scratch.table(held.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(cut, schema), "leaves")
+    scratch.drop(held)
+    scratch.settle()
+    return leaves
+
+
+def _packed(nodes: list[int], labels: list[int], points: np.ndarray, sets: list[np.ndarray]) -> bytes:
+    head = np.array([len(nodes), *nodes, *labels, *map(len, sets)], np.int64)
+    return head.tobytes() + points.tobytes() + b"".join(s.tobytes() for s in sets)
+
+
+def _unpacked(data) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes, labels, sizes, points and the sets on end."""
+    k = int(np.frombuffer(data, np.int64, 1)[0])
+    head = np.frombuffer(data, np.int64, 3 * k, 8).reshape(3, k)
+    points = np.frombuffer(data, np.uint8, k * DIMENSIONS, 8 * (3 * k + 1)).reshape(k, DIMENSIONS)
+    return head[0], head[1], head[2], points, np.frombuffer(data, np.uint64, int(head[2].sum()), 8 * (3 * k + 1) + k * DIMENSIONS)
+
+
+def uniting_links(left, right) -> list[tuple[int, int]]:
+    """Links between the members of two packed leaves that join components, until no further link joins any."""
+    a, label_a, n_a, point_a, set_a = _unpacked(left)
+    b, label_b, n_b, point_b, set_b = _unpacked(right)
+    label_a, label_b = label_a.copy(), label_b.copy()
+    # A coordinate that reached its highest value may stand for more; it then bounds nothing.
+    full_a, full_b = point_a.max(1) == 255, point_b.max(1) == 255
+    end_a = np.cumsum(n_a)
+    index = None
+    out = []
+    for i in range(len(a)):
+        n = n_a[i]
+        apart = np.flatnonzero((label_b != label_a[i]) & (100 * np.minimum(n_b, n) >= PERCENT * np.maximum(n_b, n)))
+        if not len(apart):
+            continue
+        need = -(-PERCENT * (n + n_b[apart]) // (100 + PERCENT))
+        bound = np.minimum(point_b[apart], point_a[i]).sum(1, dtype=np.int64)
+        apart = apart[(bound >= need) | full_b[apart] | full_a[i]]
+        if not len(apart):
+            continue
+        if index is None:
+            order = np.argsort(set_b, kind="stable")
+            values, first = np.unique(set_b[order], return_index=True)
+            index = values, np.append(first, len(set_b)), np.repeat(np.arange(len(b)), n_b)[order]
+        values, first, owner = index
+        mine = set_a[end_a[i] - n : end_a[i]]
+        at = np.searchsorted(values, mine)
+        at[at == len(values)] = 0
+        at = at[values[at] == mine]
+        runs = first[at + 1] - first[at]
+        hits = np.repeat(first[at] - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())
+        both = np.bincount(owner[hits], minlength=len(b))
+        for j in apart[100 * both[apart] >= PERCENT * (n + n_b[apart] - both[apart])]:
+            old, new = label_b[j], label_a[i]
+            if old != new:
+                label_b[label_b == old] = new
+                label_a[label_a == old] = new
+                out.append((int(a[i]), int(b[j])))
+    return out
+
+
+def _leaf_links(leaves: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): links that join components, of all pairs of leaves that the boxes let through."""
+    boxes = leaves.drop("data")
+    other = boxes.select("center", *[F.col(c).alias(c + "_b") for c in ("leaf", "pure", "least", "most", "high")])
+    near = boxes.join(other.hint("merge"), "center").filter(f"leaf <= leaf_b and coalesce(pure != pure_b, true) and 100 * most >= {PERCENT} * least_b and 100 * most_b >= {PERCENT} * least")
+    near = scratch.table(near.filter(_boxes_meet("high", "high_b", "least", "least_b")).select("center", "leaf", "leaf_b"), "near")
+
+    def meet(batches):
+        for whole in batches:
+            out = [x for left, right in zip(whole.column(0), whole.column(1), strict=True) for x in uniting_links(left.as_buffer(), right.as_buffer())]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    one = leaves.select("center", "leaf", F.col("data").alias("left"))
+    two = leaves.select("center", F.col("leaf").alias("leaf_b"), F.col("data").alias("right"))
+    met = near.join(one.hint("merge"), ["center", "leaf"]).join(two.hint("merge"), ["center", "leaf_b"]).select("left", "right")
+    out = scratch.table(met.mapInArrow(meet, "a long, b long").distinct(), "united")
+    scratch.settle()
+    return out
 
 
 def node_links(nodes: DataFrame, scratch: Scratch, bits: int = GROUP_BITS) -> DataFrame | None:
@@ -381,46 +445,26 @@ def node_links(nodes: DataFrame, scratch: Scratch, bits: int = GROUP_BITS) -> Da
     buckets = max(24, total // 4_000_000)
     blocks = scratch.table(_blocks(nodes, levels, buckets), "blocks")
     scratch.settle()
-    stars = scratch.table(blocks.filter("node != center").groupBy("node", "center").agg(F.count("*").alias("shared")), "stars")
+    stars = _stars(blocks, scratch)
+    scratch.drop(blocks)
     if stars.isEmpty():
         return None
-    points = scratch.table(nodes.filter("node is not null").dropDuplicates(["node"]).select("node", "n", "point"), "points")
-    # Pairs that the points rule out need no sets; then every node meets the centre it shares most with, then the others.
-    met = stars
-    stars = _fitting(stars.select(F.col("node").alias("a"), F.col("center").alias("b"), "shared"), points, scratch, "shared")
-    scratch.drop(met)
-    best = scratch.table(stars.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")), "best")
+    # Every node meets the centre it shares most with; what is still apart under a centre meets in leaves.
+    best = scratch.table(stars.groupBy(F.col("node").alias("a")).agg(F.max_by("center", F.struct("shared", "center")).alias("b")), "best")
     links = _verified(best, nodes, scratch)
     labels = connected(links, scratch)
-    apart = stars.select("a", "b").join(best, ["a", "b"], "left_anti")
-    apart = apart.join(_as(labels, "a"), "a", "left").join(_as(labels, "b"), "b", "left").filter("coalesce(label_a, a) != coalesce(label_b, b)").select("a", "b")
-    apart = scratch.table(apart, "apart")
-    links = scratch.table(links.union(_verified(apart, nodes, scratch, fine=True)), "links")
-    labels = connected(links, scratch)
-    marked = scratch.table(_labelled(blocks, labels).select("key", "node", "label"), "marked")
-    scratch.drop(blocks)
+    members = stars.join(best.select(F.col("a").alias("node"), F.col("b").alias("center"), F.lit(True).alias("met")), ["node", "center"], "left").select("center", "node", "met")
+    members = members.union(stars.select("center", F.col("center").alias("node"), F.lit(True)).distinct())
+    members = scratch.table(_labelled(members, labels), "members")
+    # Two members that have met and are apart stay apart.
+    open_ = members.groupBy("center").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"), F.bool_and(F.coalesce("met", F.lit(False))).alias("met"))
+    open_ = scratch.table(open_.filter("lo != hi and not (size = 2 and met)").select("center"), "open")
+    members = scratch.table(members.join(open_, "center").select("center", "node", "label"), "apart")
     scratch.settle()
-    open_keys = scratch.table(marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key"), "open")
-    pairs = _leaf_pairs(marked.join(open_keys, "key"), points, scratch).join(stars.select("a", "b").union(stars.select("b", "a")), ["a", "b"], "left_anti")
-    pairs = scratch.table(pairs, "pairs")
-    if pairs.isEmpty():
+    if members.isEmpty():
         return labels
-    links = scratch.table(links.union(_verified(pairs, nodes, scratch, fine=True)), "links")
-    return connected(links, scratch)
-
-
-def _as(labels: DataFrame, end: str) -> DataFrame:
-    return labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
-
-
-def _fitting(pairs: DataFrame, points: DataFrame, scratch: Scratch, *more: str) -> DataFrame:
-    """Pairs (a, b) whose sizes and points can reach the overlap."""
-    one = points.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("point_a"))
-    two = points.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("point_b"))
-    near = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").filter(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)").filter(_points_meet("point_a", "point_b", "n_a", "n_b"))
-    fitting = scratch.table(near.select("a", "b", *more), "fitting")
-    scratch.settle()
-    return fitting
+    more = _leaf_links(_leaves(members, nodes, scratch), scratch)
+    return connected(scratch.table(links.union(more), "links"), scratch)
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, bits: int = GROUP_BITS) -> DataFrame:
