@@ -5,26 +5,30 @@ differ by k = floor(m * error_rate) edits. Cut into k + 1 pieces, it has a piece
 unchanged, so an Aho-Corasick search for all pieces finds a hit in each; around a hit, Myers' bit-parallel distance
 decides. Hits that point at the same place of the same item are verified once.
 
-Items go to the workers in blocks of at most `block_chars` characters, a broadcast of proven size; a larger benchmark
-takes more passes over the documents.
+An item too short for one edit (k = 0) has to stand on word boundaries, else it would be found inside words.
 
-Defined results: null and empty texts match nothing; null, empty and blank items and items of under `min_chars`
-characters match nothing; repeated rows each get their result; equal items all report; empty tables give empty results;
-other columns are not read by `find_leaks` and pass through `drop_leaks`.
+Items go to the workers in blocks of at most `block_chars` characters (or one longer item), a broadcast of proven size;
+a larger benchmark takes a pass over the documents for each block, and a pass is written and its broadcast let go before
+the next one begins.
+
+Defined results: null and empty texts match nothing; very long texts are searched whole; null, empty and blank items and
+items without an id match nothing; repeated rows each get their result; equal items all report; of places of an item
+that overlap the first stands; empty tables give empty results; ids may be of any type; other columns are not read by
+`find_leaks` and pass through `drop_leaks`.
 """
 
 from __future__ import annotations
 
-import functools
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches
+from tessera.llm.common import Scratch, small_batches
 
-HIT = "array<struct<item_id:long,start:int,end:int,distance:int>>"
+NOWHERE = -(1 << 60)
 
 
 def normal(text: str) -> str:
@@ -86,14 +90,14 @@ def myers(peq: dict[str, int], m: int, text: str, k: int) -> tuple[int, int] | N
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[int, str]], error_rate: float, min_chars: int):
+    def __init__(self, items: list[tuple], error_rate: float):
         import ahocorasick
 
         self.items, self.auto = [], ahocorasick.Automaton()
         by_piece: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             t = normal(text or "")
-            if len(t) < min_chars:
+            if not t:
                 continue
             k = int(len(t) * error_rate)
             self.items.append((item_id, t, k, masks(t), masks(t[::-1])))
@@ -116,14 +120,18 @@ class Matcher:
         found: list[tuple[int, int, int, int]] = []
         for item, starts in places.items():
             item_id, pattern, k, peq, rev = self.items[item]
-            m, done = len(pattern), -1
+            m, done = len(pattern), NOWHERE
             for s in sorted(starts):
                 if s < done:
                     continue
-                if t.startswith(pattern, max(s, 0)) and s >= 0:
+                if s >= 0 and t.startswith(pattern, s):
+                    if not k and (_joins(t, s) or _joins(t, s + m)):
+                        continue
                     found.append((item_id, s, s + m, 0))
                     done = s + m - k
                     continue
+                if not k:
+                    continue
                 low = max(0, s - k)
                 hit = myers(peq, m, t[low : s + m + k], k)
                 if hit:
@@ -139,51 +147,81 @@ class Matcher:
         return [{"item_id": i, "start": at[a], "end": at[b - 1] + 1, "distance": d} for (i, a, b), d in sorted(unique.items())]
 
 
-@functools.lru_cache(maxsize=2)
-def _matcher(items: tuple, error_rate: float, min_chars: int) -> Matcher:
-    return Matcher(list(items), error_rate, min_chars)
+def _joins(t: str, i: int) -> bool:
+    """Whether the place i lies inside a word."""
+    return 0 < i < len(t) and t[i - 1].isalnum() and t[i].isalnum()
+
+
+_held: dict[str, Matcher] = {}
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> Iterator[tuple]:
-    """Items with a text, in blocks of bounded size; only one block is on the driver at a time."""
+def _matcher(name: str, items: list[tuple], error_rate: float) -> Matcher:
+    """A worker keeps the automaton of the block it searches for, and no other."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = Matcher(items, error_rate)
+    return _held[name]
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple]]:
+    """Items with a text, in blocks of bounded size; only one block and the item after it are on the driver at a time."""
     block, size = [], 0
-    for r in benchmark.select(benchmark[item_col].cast("long").alias("i"), benchmark[text_col].cast("string").alias("t")).filter("t is not null and i is not null").toLocalIterator():
+    for r in benchmark.select(benchmark[item_col].alias("i"), benchmark[text_col].cast("string").alias("t")).filter("t is not null and i is not null").toLocalIterator():
         if block and size + len(r.t) > block_chars:
-            yield tuple(block)
+            yield block
             block, size = [], 0
         block.append((r.i, r.t))
         size += len(r.t)
     if block:
-        yield tuple(block)
+        yield block
+
 
+def _search(docs: DataFrame, block: list[tuple], error_rate: float, kind: str, result):
+    """A broadcast of the block, and a function of a text column that gives result(hits)."""
+    held = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block, error_rate))
 
-def _search(block, error_rate: float, min_chars: int):
-    @F.pandas_udf(HIT)
+    @F.pandas_udf(kind)
     def hits(texts: pd.Series) -> pd.Series:
-        find = _matcher(block.value, error_rate, min_chars).find
-        return pd.Series([find(t) for t in texts.tolist()], dtype="object")
+        find = _matcher(*held.value).find
+        return pd.Series([result(find(t)) for t in texts.tolist()], dtype="object" if kind != "boolean" else "bool")
 
     # Called nondeterministic, or the filter that Spark infers below an explode would run it a second time.
-    return hits.asNondeterministic()
+    return held, hits.asNondeterministic()
 
 
-def _with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, error_rate: float, min_chars: int, block_chars: int, name: str) -> DataFrame:
-    small_batches(docs.sparkSession)
-    columns = []
-    for block in _blocks(benchmark, item_col, item_text_col, block_chars):
-        search = _search(docs.sparkSession.sparkContext.broadcast(block), error_rate, min_chars)
-        columns.append(search(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
-    return docs.withColumn(name, F.concat(*columns) if columns else F.expr(f"cast(array() as {HIT})"))
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.07, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = 4_000_000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.07, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = 1_000_000, scratch: Scratch | None = None) -> DataFrame:
     """One row per leak: (id, item_id, start, end, distance), positions in code points of the whole text."""
-    pruned = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    hits = _with_hits(pruned, benchmark, "text", item_col, item_text_col, error_rate, min_chars, block_chars, "hits")
-    return hits.select("id", F.explode("hits").alias("h")).select(F.col("id").alias(id_col), F.col("h.item_id").alias("item_id"), "h.start", "h.end", "h.distance")
-
-
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.07, min_chars: int = 40, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = 4_000_000) -> DataFrame:
+    small_batches(docs.sparkSession)
+    pruned = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    kind = f"array<struct<item_id:{benchmark.schema[item_col].dataType.simpleString()},start:int,end:int,distance:int>>"
+    blocks = _blocks(benchmark, item_col, item_text_col, block_chars)
+    block, out = next(blocks, []), None
+    while True:
+        after = next(blocks, None)
+        held, search = _search(docs, block, error_rate, kind, lambda found: found)
+        leaks = pruned.select("id", F.explode(search("text")).alias("h")).select(F.col("id").alias(id_col), F.col("h.item_id").alias("item_id"), "h.start", "h.end", "h.distance")
+        if after is not None:
+            scratch = scratch or Scratch(docs.sparkSession)
+            leaks = scratch.table(leaks, "leaks")
+            held.destroy()
+        out = leaks if out is None else out.union(leaks)
+        if after is None:
+            return out
+        block = after
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.07, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = 1_000_000, scratch: Scratch | None = None) -> DataFrame:
     """docs without the rows in which an item is found."""
-    hits = _with_hits(docs, benchmark, text_col, item_col, item_text_col, error_rate, min_chars, block_chars, "__tessera_hits")
-    return hits.filter(F.size("__tessera_hits") == 0).select(*[hits[c] for c in docs.columns])
+    small_batches(docs.sparkSession)
+    blocks = _blocks(benchmark, item_col, item_text_col, block_chars)
+    block = next(blocks, [])
+    while True:
+        after = next(blocks, None)
+        held, leaky = _search(docs, block, error_rate, "boolean", bool)
+        docs = docs.filter(~leaky(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
+        if after is None:
+            return docs
+        scratch = scratch or Scratch(docs.sparkSession)
+        docs = scratch.table(docs, "clean")
+        held.destroy()
+        block = after
