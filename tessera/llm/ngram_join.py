@@ -5,7 +5,8 @@ groups. Two numbers come from the groups:
 
 * How often each group occurs over the whole corpus orders shingles, rare groups first. Two linked sets share one of
   their n - ceil(n * similarity) + 1 first shingles in any common order, so equal first shingles find every link.
-* A node's counts in `DIMENSIONS` groups are a point. The overlap of two sets is at most the sum over coordinates of the
+* A node's counts in DIMENSIONS groups, or for sets of over 4 * DIMENSIONS in a quarter as many as the set has, are a
+  point; groups of the larger number nest in those of the smaller. The overlap of two sets is at most the sum over coordinates of the
   smaller count.
 
 A first shingle that several nodes have gathers them around its smallest node, the centre. A node keeps one row for each
@@ -13,9 +14,10 @@ of its centres, however many shingles led there, so a family of near copies stay
 the centre it shares most with; what links becomes one component. The members of a centre that still lie in several
 components are sorted by component and size and cut into leaves of an R-tree, LEAF of them at most, with the upper
 corner of their points. Pairs of leaves of one component, or whose corners or sizes cannot reach the overlap, are
-dropped. The other pairs of leaves meet in a worker, which bounds pairs of points, counts overlaps of sets exactly where
-the bound allows a link, and gives only links that join two components: at most one for each member of the two leaves.
-Pairs of members are never rows.
+dropped. The other pairs of leaves meet in a worker, twice: first with points alone, which leaves the members whose
+point allows a link with another component; then those with their sets, where overlaps are counted exactly and only
+links that join two components are given, at most one for each member of the two leaves. Pairs of members are never
+rows.
 
 A tree over all points alone prunes nothing: the counts of unrelated long texts differ less than a link allows (the
 reason is in the README), so it works inside the families that first shingles make.
@@ -35,7 +37,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BinaryType, BooleanType
 
 from tessera.llm.common import Scratch
 from tessera.llm.shingles import mix, set_hash, shingle_sets
@@ -70,8 +72,9 @@ def _chunks(batch: pa.RecordBatch):
 
 
 def _point(values: np.ndarray) -> bytes:
-    """How many shingles of a set fall in each of DIMENSIONS groups, held at 255."""
-    return np.minimum(np.bincount((mix(values) >> np.uint64(56)).astype(np.int64), minlength=DIMENSIONS), 255).astype(np.uint8).tobytes()
+    """How many shingles of a set fall in each group, held at 255."""
+    bits = max(DIMENSIONS.bit_length() - 1, (len(values) - 1).bit_length() - 2)
+    return np.minimum(np.bincount((mix(values) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
 def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -273,8 +276,7 @@ def _boxes_meet(high_a: pd.Series, high_b: pd.Series, n: pd.Series, m: pd.Series
     """n, m: the smallest sizes in the two leaves. The overlap of any two points is at most the sum of the smaller upper corners."""
     out = []
     for ha, hb, i, j in zip(high_a, high_b, n, m, strict=True):
-        ha, hb = np.frombuffer(ha, np.uint8), np.frombuffer(hb, np.uint8)
-        bound = i + j if max(ha.max(), hb.max()) == 255 else int(np.minimum(ha, hb).sum(dtype=np.int64))
+        bound = int(np.minimum(np.frombuffer(ha, np.uint16), np.frombuffer(hb, np.uint16)).sum(dtype=np.int64))
         out.append(bound >= least_overlap(i, j))
     return pd.Series(out, dtype="bool")
 
@@ -316,20 +318,94 @@ def _labelled(blocks: DataFrame, labels: DataFrame | None) -> DataFrame:
     return blocks.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _leaves(members: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Leaves of the members (center, node, label) of every centre, in order of component and size; a leaf is named by its first node.
+class Leaf:
+    """Members of one centre: nodes, labels, sizes, points and, on end, their sets where they are carried."""
+
+    def __init__(self, data):
+        k, whole = (int(x) for x in np.frombuffer(data, np.int64, 2))
+        head = np.frombuffer(data, np.int64, 4 * k, 16).reshape(4, k)
+        self.nodes, self.labels, self.n, lengths = head[0], head[1].copy(), head[2], head[3]
+        at = 16 + 32 * k
+        flat = np.frombuffer(data, np.uint8, int(lengths.sum()), at)
+        ends = np.cumsum(lengths)
+        self.points = [(int(d), np.flatnonzero(lengths == d)) for d in np.unique(lengths)]
+        self.points = [(d, which, np.stack([flat[ends[i] - d : ends[i]] for i in which])) for d, which in self.points]
+        self.sets = np.frombuffer(data, np.uint64, int(self.n.sum()), at + len(flat)) if whole else None
+
+    @staticmethod
+    def pack(rows: list[tuple]) -> bytes:
+        """Of (label, node, n, point, set or None)."""
+        whole = rows[0][4] is not None
+        head = np.array([len(rows), whole, *(r[1] for r in rows), *(r[0] for r in rows), *(r[2] for r in rows), *(len(r[3]) for r in rows)], np.int64)
+        return head.tobytes() + b"".join(r[3] for r in rows) + (b"".join(r[4] for r in rows) if whole else b"")
+
+    def fit(self, other: Leaf) -> np.ndarray:
+        """Pairs of different components whose sizes and points allow a link."""
+        n, m = self.n[:, None], other.n[None, :]
+        out = (self.labels[:, None] != other.labels[None, :]) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
+        need = -(-PERCENT * (n + m) // (100 + PERCENT))
+        for d, here, p in self.points:
+            for e, there, q in other.points:
+                if not out[np.ix_(here, there)].any():
+                    continue
+                low = min(d, e)
+                # A coordinate that reached its highest value may stand for more; it then bounds nothing.
+                full = (p.max(1) == 255)[:, None] | (q.max(1) == 255)[None, :]
+                a, b = (x if x.shape[1] == low else x.reshape(len(x), low, -1).sum(2, dtype=np.uint16) for x in (p, q))
+                for i, row in zip(here, range(len(a)), strict=True):
+                    js = np.flatnonzero(out[i, there])
+                    if len(js):
+                        bound = np.minimum(b[js], a[row]).sum(1, dtype=np.int64)
+                        out[i, there[js]] = (bound >= need[i, there[js]]) | full[row, js]
+        return out
+
+
+def uniting_links(a: Leaf, b: Leaf) -> list[tuple[int, int]]:
+    """Links between members of two leaves that join components, until no further link joins any."""
+    fit = a.fit(b)
+    ends = np.cumsum(a.n)
+    index = None
+    out = []
+    for i in np.flatnonzero(fit.any(1)):
+        some = np.flatnonzero(fit[i] & (b.labels != a.labels[i]))
+        if not len(some):
+            continue
+        if index is None:
+            order = np.argsort(b.sets, kind="stable")
+            values, first = np.unique(b.sets[order], return_index=True)
+            index = values, np.append(first, len(b.sets)), np.repeat(np.arange(len(b.n)), b.n)[order]
+        values, first, owner = index
+        n = a.n[i]
+        mine = a.sets[ends[i] - n : ends[i]]
+        at = np.searchsorted(values, mine)
+        at[at == len(values)] = 0
+        at = at[values[at] == mine]
+        runs = first[at + 1] - first[at]
+        hits = np.repeat(first[at] - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())
+        both = np.bincount(owner[hits], minlength=len(b.n))
+        for j in some[100 * both[some] >= PERCENT * (n + b.n[some] - both[some])]:
+            old, new = b.labels[j], a.labels[i]
+            if old != new:
+                b.labels[b.labels == old] = new
+                a.labels[a.labels == old] = new
+                out.append((int(a.nodes[i]), int(b.nodes[j])))
+    return out
+
+
+def _leaves(held: DataFrame, scratch: Scratch) -> DataFrame:
+    """Leaves of the members (center, label, n, node, point, members) of every centre, in order of component and size; a
+    leaf is named by its first node. members is null where sets are not carried.
 
     A distributed sort lays equal centres side by side, over several tasks where they are many; each task cuts its own."""
-    sets = _sets(nodes, members.select("node"))
-    held = scratch.table(members.join(sets.hint("merge"), "node").select("center", "label", "node", "members"), "held")
-    scratch.settle()
+
+    def corner(rows):
+        low = [np.frombuffer(r[3], np.uint8).reshape(DIMENSIONS, -1) for r in rows]
+        return np.stack([np.full(DIMENSIONS, 65535) if p.max() == 255 else p.sum(1, dtype=np.int64) for p in low]).max(0)
 
     def leaf(center, rows):
-        sets = [np.frombuffer(r[2], np.uint64) for r in rows]
-        points = np.stack([np.frombuffer(_point(x), np.uint8) for x in sets])
-        labels = [r[0] for r in rows]
-        sizes = [len(x) for x in sets]
-        return (center, rows[0][1], labels[0] if min(labels) == max(labels) else None, min(sizes), max(sizes), points.max(0).tobytes(), _packed([r[1] for r in rows], labels, points, sets))
+        labels, sizes = [r[0] for r in rows], [r[2] for r in rows]
+        high = np.minimum(corner(rows), 65535).astype(np.uint16).tobytes()
+        return (center, rows[0][1], labels[0] if min(labels) == max(labels) else None, min(sizes), max(sizes), high, Leaf.pack(rows))
 
     def cut(batches):
         def out():
@@ -339,13 +415,13 @@ def _leaves(members: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame
         now, rows, size, ready = None, [], 0, []
         for whole in batches:
             for b in _chunks(whole):
-                for center, label, node, m in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                    if rows and (center != now or len(rows) == LEAF or size + len(m) > LEAF_BYTES):
+                for center, label, n, node, point, members in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+                    if rows and (center != now or len(rows) == LEAF or size > LEAF_BYTES):
                         ready.append(leaf(now, rows))
                         rows, size = [], 0
                     now = center
-                    rows.append((label, node, m))
-                    size += len(m)
+                    rows.append((label, node, n, point, members))
+                    size += len(point) + len(members or b"")
                     if len(ready) == LEAF:
                         yield out()
                         ready = []
@@ -354,88 +430,58 @@ def _leaves(members: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame
         if ready:
             yield out()
 
-    order = ["center", "label", F.octet_length("members"), "node"]
+    order = ["center", "label", "n", "node"]
     schema = "center long, leaf long, pure long, least long, most long, high binary, data binary"
+    held = scratch.table(held.select("center", "label", "n", "node", "point", "members"), "held")
     leaves = scratch.table(held.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(cut, schema), "leaves")
     scratch.drop(held)
     scratch.settle()
     return leaves
 
 
-def _packed(nodes: list[int], labels: list[int], points: np.ndarray, sets: list[np.ndarray]) -> bytes:
-    head = np.array([len(nodes), *nodes, *labels, *map(len, sets)], np.int64)
-    return head.tobytes() + points.tobytes() + b"".join(s.tobytes() for s in sets)
-
-
-def _unpacked(data) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Nodes, labels, sizes, points and the sets on end."""
-    k = int(np.frombuffer(data, np.int64, 1)[0])
-    head = np.frombuffer(data, np.int64, 3 * k, 8).reshape(3, k)
-    points = np.frombuffer(data, np.uint8, k * DIMENSIONS, 8 * (3 * k + 1)).reshape(k, DIMENSIONS)
-    return head[0], head[1], head[2], points, np.frombuffer(data, np.uint64, int(head[2].sum()), 8 * (3 * k + 1) + k * DIMENSIONS)
-
-
-def uniting_links(left, right) -> list[tuple[int, int]]:
-    """Links between the members of two packed leaves that join components, until no further link joins any."""
-    a, label_a, n_a, point_a, set_a = _unpacked(left)
-    b, label_b, n_b, point_b, set_b = _unpacked(right)
-    label_a, label_b = label_a.copy(), label_b.copy()
-    # A coordinate that reached its highest value may stand for more; it then bounds nothing.
-    full_a, full_b = point_a.max(1) == 255, point_b.max(1) == 255
-    end_a = np.cumsum(n_a)
-    index = None
-    out = []
-    for i in range(len(a)):
-        n = n_a[i]
-        apart = np.flatnonzero((label_b != label_a[i]) & (100 * np.minimum(n_b, n) >= PERCENT * np.maximum(n_b, n)))
-        if not len(apart):
-            continue
-        need = -(-PERCENT * (n + n_b[apart]) // (100 + PERCENT))
-        bound = np.minimum(point_b[apart], point_a[i]).sum(1, dtype=np.int64)
-        apart = apart[(bound >= need) | full_b[apart] | full_a[i]]
-        if not len(apart):
-            continue
-        if index is None:
-            order = np.argsort(set_b, kind="stable")
-            values, first = np.unique(set_b[order], return_index=True)
-            index = values, np.append(first, len(set_b)), np.repeat(np.arange(len(b)), n_b)[order]
-        values, first, owner = index
-        mine = set_a[end_a[i] - n : end_a[i]]
-        at = np.searchsorted(values, mine)
-        at[at == len(values)] = 0
-        at = at[values[at] == mine]
-        runs = first[at + 1] - first[at]
-        hits = np.repeat(first[at] - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())
-        both = np.bincount(owner[hits], minlength=len(b))
-        for j in apart[100 * both[apart] >= PERCENT * (n + n_b[apart] - both[apart])]:
-            old, new = label_b[j], label_a[i]
-            if old != new:
-                label_b[label_b == old] = new
-                label_a[label_a == old] = new
-                out.append((int(a[i]), int(b[j])))
-    return out
-
-
-def _leaf_links(leaves: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b): links that join components, of all pairs of leaves that the boxes let through."""
+def _meeting(leaves: DataFrame, meet, schema: str, names: list[str], scratch: Scratch) -> DataFrame:
+    """Distinct rows (long, long) of meet(leaf, leaf, centre) over all pairs of leaves that the boxes let through."""
     boxes = leaves.drop("data")
     other = boxes.select("center", *[F.col(c).alias(c + "_b") for c in ("leaf", "pure", "least", "most", "high")])
     near = boxes.join(other.hint("merge"), "center").filter(f"leaf <= leaf_b and coalesce(pure != pure_b, true) and 100 * most >= {PERCENT} * least_b and 100 * most_b >= {PERCENT} * least")
     near = scratch.table(near.filter(_boxes_meet("high", "high_b", "least", "least_b")).select("center", "leaf", "leaf_b"), "near")
 
-    def meet(batches):
-        for whole in batches:
-            out = [x for left, right in zip(whole.column(0), whole.column(1), strict=True) for x in uniting_links(left.as_buffer(), right.as_buffer())]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+    def run(batches):
+        for b in batches:
+            out = [x for c, left, right in zip(*(b.column(k) for k in range(3)), strict=True) for x in meet(Leaf(left.as_buffer()), Leaf(right.as_buffer()), c.as_py())]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names)
 
     one = leaves.select("center", "leaf", F.col("data").alias("left"))
     two = leaves.select("center", F.col("leaf").alias("leaf_b"), F.col("data").alias("right"))
-    met = near.join(one.hint("merge"), ["center", "leaf"]).join(two.hint("merge"), ["center", "leaf_b"]).select("left", "right")
-    out = scratch.table(met.mapInArrow(meet, "a long, b long").distinct(), "united")
+    met = near.join(one.hint("merge"), ["center", "leaf"]).join(two.hint("merge"), ["center", "leaf_b"]).select("center", "left", "right")
+    out = scratch.table(met.mapInArrow(run, schema).distinct(), "met")
     scratch.settle()
     return out
 
 
+def _alive(a: Leaf, b: Leaf, center: int) -> list[tuple[int, int]]:
+    """(center, node) of the members whose point allows a link with another component."""
+    fit = a.fit(b)
+    return [(center, int(x)) for x in {*a.nodes[fit.any(1)], *b.nodes[fit.any(0)]}]
+
+
+def _leaf_links(members: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): links that join components, of the members (center, node, label) of every centre."""
+    points = nodes.filter("node is not null").select("node", "n", "point").dropDuplicates(["node"])
+    held = members.join(points.hint("merge"), "node").withColumn("members", F.lit(None).cast("binary"))
+    alive = _meeting(_leaves(held, scratch), _alive, "center long, node long", ["center", "node"], scratch)
+    members = scratch.table(members.join(alive.hint("merge"), ["center", "node"]), "alive")
+    sets = _sets(nodes, members.select("node")).hint("merge")
+    held = members.join(sets, "node").withColumn("n", (F.octet_length("members") / 8).cast("long"))
+    held = held.withColumn("point", _points("members"))
+    return _meeting(_leaves(held, scratch), lambda a, b, _: uniting_links(a, b), "a long, b long", ["a", "b"], scratch)
+
+
+@F.pandas_udf(BinaryType())
+def _points(members: pd.Series) -> pd.Series:
+    return pd.Series([_point(np.frombuffer(m, np.uint64)) for m in members], dtype="object")
+
+
 def node_links(nodes: DataFrame, scratch: Scratch, bits: int = GROUP_BITS) -> DataFrame | None:
     """(node, label) of all nodes with a link; None when no two documents share a first shingle."""
     total = nodes.agg(F.sum("n")).first()[0] or 0
@@ -463,7 +509,7 @@ def node_links(nodes: DataFrame, scratch: Scratch, bits: int = GROUP_BITS) -> Da
     scratch.settle()
     if members.isEmpty():
         return labels
-    more = _leaf_links(_leaves(members, nodes, scratch), scratch)
+    more = _leaf_links(members, nodes, scratch)
     return connected(scratch.table(links.union(more), "links"), scratch)
 
 

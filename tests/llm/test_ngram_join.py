@@ -26,16 +26,18 @@ def family(r, n, words=90, edits=12):
 def test_uniting_links_are_links_and_lose_none():
     rng = np.random.default_rng(3)
     for trial in range(30):
-        pool = np.unique(rng.integers(0, 1 << 62, 400, dtype=np.uint64))
-        sets = [np.sort(rng.choice(pool, rng.integers(1, 380), replace=False)) for _ in range(9)]
+        size = 6000 if trial % 3 == 0 else 400  # points of several resolutions meet
+        pool = np.unique(rng.integers(0, 1 << 62, size, dtype=np.uint64))
+        sets = [np.sort(rng.choice(pool, rng.integers(1, size - 20), replace=False)) for _ in range(9)]
         sets += [np.sort(rng.permutation(s)[: max(1, int(len(s) * share))]) for s in sets for share in (0.74, 0.75, 0.76, 0.95, 1.0)]
         sets = sets[:40]
         labels = [int(x) for x in rng.integers(0, 30, len(sets))]
-        pack = lambda ids: ngram_join._packed(ids, [labels[i] for i in ids], np.stack([np.frombuffer(ngram_join._point(sets[i]), np.uint8) for i in ids]), [sets[i] for i in ids])
+        pack = lambda ids: ngram_join.Leaf(ngram_join.Leaf.pack([(labels[i], i, len(sets[i]), ngram_join._point(sets[i]), sets[i].tobytes()) for i in ids]))
         left, right = list(range(20)), list(range(20, len(sets))) if trial % 2 else list(range(20))
+        alive = {i for _, i in ngram_join._alive(pack(left), pack(right), 5)}
         got = ngram_join.uniting_links(pack(left), pack(right))
         linked = {(i, j) for i in left for j in right if labels[i] != labels[j] and 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
-        assert set(got) <= linked
+        assert set(got) <= linked and {i for x in linked for i in x} <= alive
 
         def classes(links):
             up = {x: x for x in labels}
