@@ -4,20 +4,22 @@ The lines of a document that hold a word form a sequence. A window starts at eac
 `min_words` words; the smallest line hash of a window is its fingerprint. Two runs of equal lines with at least that
 many words hold an equal whole window and so share a fingerprint, whatever stands around them: the guarantee.
 Fingerprints that occur at two positions or more are kept, the windows at those positions are joined on the hash of all
-their lines, and each is matched with the first place, by (doc_id, row hash, line), that has it. Overlapping matched
-windows merge, which extends a match both ways as far as the lines agree; merged runs of later places are deleted.
+their lines, and each is matched with the first place, by (doc_id, row hash, line), that has it. Windows start at every
+line, so overlapping ones extend a match back to its first line; forward, the last window of a run is followed along
+with its first place, line by line, until the lines differ. Runs of later places are deleted whole.
 
-No group is expanded into pairs: each window meets one first place.
+No group is expanded into pairs: each window meets one first place, each run is followed once.
 
 Defined results: a word is a run of characters other than [\\x20\\x09-\\x0D]; lines split at \\n; lines without a word
 take no part but go when they lie inside a deleted run. Null text stays null, empty text stays empty. Rows equal in id
-and text are one document and get the same cuts. Runs repeated inside one document are cut too. Other columns pass
-through untouched; an empty table gives an empty result.
+and text are one document and get the same cuts. Runs repeated inside one document are cut too. Very long texts are
+read whole. A run of fewer than `min_words` words stays, however often it is repeated. Other columns pass through
+untouched; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch
@@ -45,21 +47,39 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     scratch = scratch or Scratch(docs.sparkSession)
     src = docs.filter(docs[text_col].isNotNull()).select(docs[id_col].alias(ID), _row_hash(docs, id_col, text_col).alias(ROW), F.split(docs[text_col].cast("string"), "\n").alias("split"))
     counted = F.expr(r"filter(transform(split, (x, i) -> named_struct('pos', i, 'n', size(regexp_extract_all(x, r'[^\x20\x09-\x0D]+', 0)), 'h', xxhash64(x))), l -> l.n > 0)")
-    windows = src.select(ID, ROW, counted.alias("lines")).select(ID, ROW, F.explode(F.expr(_windows(min_words))).alias("w")).select(ID, ROW, "w.*")
+    lines = scratch.table(src.select(ID, ROW, counted.alias("lines")), "lines")
+    windows = lines.select(ID, ROW, F.explode(F.expr(_windows(min_words))).alias("w")).select(ID, ROW, "w.*")
     windows = scratch.table(windows, "windows")
     place = F.struct(ID, ROW, "at")
     shared = windows.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a != b").select("fp")
     shared = scratch.table(shared, "fingerprints")
     here = F.struct(ID, ROW, "first")
-    keys = windows.join(shared, "fp").groupBy("key").agg(F.min(here).alias("origin"), F.max(here).alias("final")).filter("origin != final").select("key", "origin")
+    keys = windows.join(shared, "fp").groupBy("key").agg(F.min(F.struct(ID, ROW, "first", "last")).alias("origin"), F.max(here).alias("final")).filter(f"struct(origin.{ID}, origin.{ROW}, origin.first) != final").select("key", "origin")
     keys = scratch.table(keys, "keys")
-    later = windows.join(keys, "key").filter(here != F.col("origin"))
-    runs = F.expr("""
-      aggregate(array_sort(collect_set(struct(first, last))), cast(array() as array<struct<first:int,last:int>>),
-        (a, x) -> if(size(a) > 0 and x.first <= a[size(a) - 1].last + 1,
-                     if(x.last <= a[size(a) - 1].last, a, concat(slice(a, 1, size(a) - 1), array(named_struct('first', a[size(a) - 1].first, 'last', x.last)))),
-                     concat(a, array(x))))""")
-    return scratch.table(later.groupBy(ID, ROW).agg(runs.alias(CUTS)), "runs")
+    later = windows.join(keys, "key").filter(here != F.struct(F.col(f"origin.{ID}"), F.col(f"origin.{ROW}"), F.col("origin.first")))
+    origin = F.struct(F.col(f"origin.{ID}").alias("id"), F.col(f"origin.{ROW}").alias("row"), F.col("origin.last").alias("last"))
+    run = scratch.table(_merged(later.select(ID, ROW, "first", "last", origin.alias("origin"))), "matches")
+    # Both documents of a run by their line hashes, never by their texts; a merge join at every size.
+    wanted = run.select(ID, ROW).union(run.select("origin.id", "origin.row")).distinct().select(F.col(ID).alias("id_o"), F.col(ROW).alias("row_o"))
+    same = F.col(ID).eqNullSafe(F.col("id_o")) & (F.col(ROW) == F.col("row_o"))
+    held = scratch.table(lines.join(wanted.hint("merge"), same, "left_semi").dropDuplicates([ID, ROW]).select(F.col(ID).alias("id_o"), F.col(ROW).alias("row_o"), "lines"), "held")
+    ours = run.join(held.hint("merge"), same).select(ID, ROW, "first", "last", "origin", F.expr("filter(lines, l -> l.pos > last)").alias("tail"))
+    both = ours.join(held.hint("merge"), F.expr("origin.id <=> id_o and origin.row = row_o"))
+    differ = "array_position(zip_with(tail, filter(lines, l -> l.pos > origin.last), (x, y) -> coalesce(x.h = y.h, false)), false)"
+    both = both.withColumn("agreed", F.expr(f"if({differ} = 0, size(tail), cast({differ} as int) - 1)"))
+    followed = both.select(ID, ROW, "first", F.expr("coalesce(try_element_at(tail, nullif(agreed, 0)).pos, last)").alias("last"), "origin")
+    cuts = _merged(followed).groupBy(ID, ROW).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias(CUTS))
+    return scratch.table(cuts, "runs")
+
+
+def _merged(runs: DataFrame) -> DataFrame:
+    """(id, row hash, first, last, origin): runs of a document that overlap or touch made one, with the origin of the one that ends last."""
+    inside = Window.partitionBy(ID, ROW).orderBy("first", "last")
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    marked = runs.withColumn("begins", F.coalesce(F.col("first") > F.max("last").over(before) + 1, F.lit(True)).cast("int"))
+    marked = marked.withColumn("run", F.sum("begins").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = marked.groupBy(ID, ROW, "run").agg(F.min("first").alias("f"), F.max("last").alias("l"), F.max_by("origin", F.struct("last", "first")).alias("origin"))
+    return merged.select(ID, ROW, F.col("f").alias("first"), F.col("l").alias("last"), "origin")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", report: bool = False, scratch: Scratch | None = None) -> DataFrame:

@@ -42,11 +42,19 @@ def oracle_sql() -> dict[str, str]:
 with split as (select doc_id, text, string_split(text, chr(10)) as lines from documents),
 line as (select doc_id, unnest(lines) as line, generate_subscripts(lines, 1) - 1 as pos from split),
 worded as (select *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as n from line),
-placed as (select *, sum(n) over (partition by doc_id order by pos) - n as before, sum(n) over (partition by doc_id) as total from worded where n > 0),
-win as (select doc_id, pos, total - before as rest, list(line) over w as key, max(pos) over w as last from placed
+placed as (select *, sum(n) over (partition by doc_id order by pos) - n as before, sum(n) over (partition by doc_id) as total, row_number() over (partition by doc_id order by pos) as rn from worded where n > 0),
+win as (select doc_id, pos, total - before as rest, list(line) over w as key, max(pos) over w as last, max(rn) over w as last_rn from placed
         window w as (partition by doc_id order by before range between current row and 49 following)),
-later as (select doc_id, pos as first, last from (select *, row_number() over (partition by key order by doc_id, pos) as nth from win where rest >= 50) where nth > 1),
-marked as (select l.doc_id, l.pos, l.line, exists (select 1 from later c where c.doc_id = l.doc_id and l.pos between c.first and c.last) as cut from line l),
+nth as (select *, row_number() over o as nth, first_value(doc_id) over o as odoc, first_value(last_rn) over o as orn from win where rest >= 50 window o as (partition by key order by doc_id, pos)),
+later as (select doc_id, pos as first, last, last_rn, odoc, orn from nth where nth > 1),
+hit as (select l.doc_id, l.pos from line l where exists (select 1 from later c where c.doc_id = l.doc_id and l.pos between c.first and c.last)),
+run as (select doc_id, min(pos) as a, max(pos) as b from (select doc_id, pos, pos - row_number() over (partition by doc_id order by pos) as g from hit) group by doc_id, g),
+final as (select r.doc_id, r.a, r.b, max_by(struct_pack(rn := c.last_rn, odoc := c.odoc, orn := c.orn), struct_pack(l := c.last, f := c.first)) as t from run r join later c on c.doc_id = r.doc_id and c.first between r.a and r.b group by all),
+next as (select f.doc_id, f.a, f.b, l.pos, l.rn - f.t.rn as i, o.line is not null and o.line = l.line as same from final f join placed l on l.doc_id = f.doc_id and l.rn > f.t.rn left join placed o on o.doc_id = f.t.odoc and o.rn = f.t.orn + l.rn - f.t.rn),
+stop as (select doc_id, a, b, min(i) filter (where not same) as i from next group by all),
+reach as (select n.doc_id, n.a, n.b, max(n.pos) as e from next n join stop s on n.doc_id = s.doc_id and n.a = s.a and n.b = s.b and n.i < coalesce(s.i, 1e18) group by all),
+whole as (select f.doc_id, f.a, coalesce(r.e, f.b) as b from final f left join reach r on r.doc_id = f.doc_id and r.a = f.a and r.b = f.b),
+marked as (select l.doc_id, l.pos, l.line, exists (select 1 from whole c where c.doc_id = l.doc_id and l.pos between c.a and c.b) as cut from line l),
 island as (select doc_id, min(pos) as a, max(pos) as b from (select doc_id, pos, pos - row_number() over (partition by doc_id order by pos) as g from marked where cut) group by doc_id, g),
 runs as (select doc_id, string_agg(a || ':' || b, ',' order by a) as removed, cast(sum(b - a + 1) as bigint) as n_removed from island group by doc_id),
 left_over as (select doc_id, coalesce(string_agg(line, chr(10) order by pos) filter (where not cut), '') as text from marked group by doc_id)

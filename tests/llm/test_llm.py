@@ -189,29 +189,62 @@ def test_components_of_a_large_block(spark):
     assert got == expected_components([(x[0], x[1]) for x in rows])
 
 
-def test_line_dedup(docs, rows):
-    seen, want = set(), {}
-    for i, t in sorted({(r[0], r[1]) for r in rows if r[0] is not None and r[1] is not None}):
+def expected_line_dedup(pairs, least=50):
+    """{id: text}: windows match their first place; the last window of a run is followed along with it."""
+    first, want, all_held = {}, {}, {}
+    for i, t in sorted(pairs):
         lines = t.split("\n")
-        held = [(p, x, len(WORD.findall(x))) for p, x in enumerate(lines) if WORD.search(x)]
-        cut = set()
+        held = all_held[i] = [(p, x, len(WORD.findall(x))) for p, x in enumerate(lines) if WORD.search(x)]
+        runs = []
         for a in range(len(held)):
             n, b = 0, a
-            while b < len(held) and n < 50:
+            while b < len(held) and n < least:
                 n, b = n + held[b][2], b + 1
-            if n < 50:
+            if n < least:
                 break
             key = tuple(x for _, x, _ in held[a:b])
-            if key in seen:
-                cut.update(range(held[a][0], held[b - 1][0] + 1))
-            seen.add(key)
+            if key in first:
+                if runs and held[a][0] <= held[runs[-1][1] - 1][0] + 1:
+                    runs[-1][1:] = [b, first[key]]
+                else:
+                    runs.append([a, b, first[key]])
+            else:
+                first[key] = (i, b)
+        cut = set()
+        for a, b, (j, c) in runs:
+            while b < len(held) and c < len(all_held[j]) and held[b][1] == all_held[j][c][1]:
+                b, c = b + 1, c + 1
+            cut.update(range(held[a][0], held[b - 1][0] + 1))
         want[i] = "\n".join(x for p, x in enumerate(lines) if p not in cut)
+    return want
+
+
+def test_line_dedup(docs, rows):
+    want = expected_line_dedup({(r[0], r[1]) for r in rows if r[0] is not None and r[1] is not None})
     out = line_dedup.dedup_lines(docs).collect()
     assert len(out) == len(rows)
     assert {r.doc_id: r.text for r in out if r.doc_id is not None and r.text is not None} == want
     assert line_dedup.dedup_lines(docs).columns == docs.columns
 
 
+def test_line_dedup_follows_runs_to_their_end(spark):
+    r = random.Random(21)
+    passages = [[words(r, r.randint(1, 30)) for _ in range(r.randint(3, 9))] for _ in range(6)]
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(r.randint(1, 4)):
+            p = r.choice(passages)
+            parts += p[r.randint(0, 1) : len(p) - r.randint(0, 2)] + r.choice([[], [""], [" "], [words(r, 3)]])
+        texts.append("\n".join(parts))
+    rows = [(i, t, "en", "s", 0, "", "", "") for i, t in enumerate(texts)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()
+    want = expected_line_dedup([x[:2] for x in rows])
+    assert {x.doc_id: x.text for x in out} == want and sum(want[i] != t for i, t in enumerate(texts)) > 40
+    one = line_dedup.dedup_lines(spark.createDataFrame([(i, "\n".join([words(random.Random(5), 60), "a tail line", "and one more"][: 3 - i % 2]), "en", "s", 0, "", "", "") for i in range(4)], SCHEMA)).collect()
+    assert sorted((x.doc_id, x.text.count("\n")) for x in one) == [(0, 2), (1, 0), (2, 0), (3, 0)] and [x.text for x in one if x.doc_id] == [""] * 3
+
+
 def library_ids(texts):
     from tokenizers import Tokenizer
 
