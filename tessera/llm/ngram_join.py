@@ -11,7 +11,7 @@ groups. Two numbers come from the groups:
 
 A first shingle that several nodes have gathers them around its smallest node, the centre. A node keeps one row for each
 of its centres, however many shingles led there, so a family of near copies stays a short table. Each node first meets
-the centre it shares most with; what links becomes one component. The members of a centre that still lie in several
+the centre it shares most with, by points and, if those allow a link, by sets; what links becomes one component. The members of a centre that still lie in several
 components are sorted by component and size and cut into leaves of an R-tree, LEAF of them at most, with the upper
 corner of their points. Pairs of leaves of one component, or whose corners or sizes cannot reach the overlap, are
 dropped. The other pairs of leaves meet in a worker, twice: first with points alone, which leaves the members whose
@@ -281,6 +281,27 @@ def _boxes_meet(high_a: pd.Series, high_b: pd.Series, n: pd.Series, m: pd.Series
     return pd.Series(out, dtype="bool")
 
 
+@F.pandas_udf(BooleanType())
+def _points_fit(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    out = []
+    for x, y, i, j in zip(a, b, n, m, strict=True):
+        x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+        if max(x.max(), y.max()) < 255:  # else it may stand for more and bounds nothing
+            low = min(len(x), len(y))
+            x, y = x.reshape(low, -1).sum(1, dtype=np.uint16), y.reshape(low, -1).sum(1, dtype=np.uint16)
+            out.append(int(np.minimum(x, y).sum(dtype=np.int64)) >= least_overlap(i, j))
+        else:
+            out.append(True)
+    return pd.Series(out, dtype="bool")
+
+
+def _fitting(pairs: DataFrame, points: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose sizes and points allow a link; at most one pair for each a."""
+    one, two = (points.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("point").alias(f"point_{x}")).hint("merge") for x in "ab")
+    both = pairs.join(one, "a").join(two, "b").filter(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
+    return scratch.table(both.filter(_points_fit("point_a", "point_b", "n_a", "n_b")).select("a", "b"), "fitting")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """The linked ones of (a, b). Both ends read one exchange; sets grow with the corpus and are never broadcast."""
     sets = _sets(nodes, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))))
@@ -465,9 +486,8 @@ def _alive(a: Leaf, b: Leaf, center: int) -> list[tuple[int, int]]:
     return [(center, int(x)) for x in {*a.nodes[fit.any(1)], *b.nodes[fit.any(0)]}]
 
 
-def _leaf_links(members: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+def _leaf_links(members: DataFrame, points: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b): links that join components, of the members (center, node, label) of every centre."""
-    points = nodes.filter("node is not null").select("node", "n", "point").dropDuplicates(["node"])
     held = members.join(points.hint("merge"), "node").withColumn("members", F.lit(None).cast("binary"))
     alive = _meeting(_leaves(held, scratch), _alive, "center long, node long", ["center", "node"], scratch)
     members = scratch.table(members.join(alive.hint("merge"), ["center", "node"]), "alive")
@@ -497,7 +517,8 @@ def node_links(nodes: DataFrame, scratch: Scratch, bits: int = GROUP_BITS) -> Da
         return None
     # Every node meets the centre it shares most with; what is still apart under a centre meets in leaves.
     best = scratch.table(stars.groupBy(F.col("node").alias("a")).agg(F.max_by("center", F.struct("shared", "center")).alias("b")), "best")
-    links = _verified(best, nodes, scratch)
+    points = scratch.table(nodes.filter("node is not null").select("node", "n", "point").dropDuplicates(["node"]), "points")
+    links = _verified(_fitting(best, points, scratch), nodes, scratch)
     labels = connected(links, scratch)
     members = stars.join(best.select(F.col("a").alias("node"), F.col("b").alias("center"), F.lit(True).alias("met")), ["node", "center"], "left").select("center", "node", "met")
     members = members.union(stars.select("center", F.col("center").alias("node"), F.lit(True)).distinct())
@@ -509,7 +530,7 @@ def node_links(nodes: DataFrame, scratch: Scratch, bits: int = GROUP_BITS) -> Da
     scratch.settle()
     if members.isEmpty():
         return labels
-    more = _leaf_links(members, nodes, scratch)
+    more = _leaf_links(members, points, nodes, scratch)
     return connected(scratch.table(links.union(more), "links"), scratch)
 
 
