@@ -3,7 +3,7 @@
 A document's set of shingles is a node; documents with equal sets share it, so copies cost one node. Shingles hash to
 groups. Two numbers come from the groups:
 
-* How often each group occurs over the whole corpus orders shingles, rare groups first. Two linked sets share one of
+* How often each of some total / 8 groups occurs over the whole corpus orders shingles, rare groups first. Two linked sets share one of
   their n - ceil(n * similarity) + 1 first shingles in any common order, so equal first shingles find every link.
 * A node's counts in DIMENSIONS groups, or for sets of over 4 * DIMENSIONS in a quarter as many as the set has, are a
   point; groups of the larger number nest in those of the smaller. The overlap of two sets is at most the sum over coordinates of the
@@ -30,7 +30,7 @@ An empty table gives an empty result; other columns are not read by `components`
 
 from __future__ import annotations
 
-import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -43,7 +43,9 @@ from tessera.llm.common import Scratch
 from tessera.llm.shingles import mix, set_hash, shingle_sets
 
 PERCENT = 75  # a link: 100 * intersection >= PERCENT * union
-GROUP_BITS = 20
+MOST_BITS = 25
+COUNTED = 1 << 23
+LINKS = 1 << 20
 DIMENSIONS = 256
 LEAF = 64
 LEAF_BYTES = 1 << 18
@@ -99,42 +101,55 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"id {kind}, n long, node long, point binary, members binary")
 
 
-def group_levels(nodes: DataFrame, bits: int = GROUP_BITS) -> np.ndarray:
-    """Per group of shingles: 0, or how many doublings its corpus count lies above what chance gives; 2**bits bytes.
+def group_bits(total: int) -> int:
+    """So many groups of shingles that eight fall in each on average, 2**MOST_BITS (32 MB of levels) at most."""
+    return max(8, min(MOST_BITS, (total // 8).bit_length()))
 
-    Each task ships its counts in slices, which are summed slice by slice in as many tasks as the number of files asks
-    for; the levels alone come to the driver."""
+
+def group_levels(nodes: DataFrame, bits: int) -> np.ndarray:
+    """Per group of shingles its corpus count, on a logarithmic scale from 128 on; 2**bits bytes.
+
+    Each task ships its counts in packed slices, which are summed slice by slice in as many tasks as the number of files
+    asks for; the levels alone come to the driver."""
     size = 1 << bits
     slices = LEAST_SLICES
     while slices < min(MOST_SLICES, size, len(nodes.inputFiles()) // 4):
         slices *= 2
+    step = size // slices
+
+    def packed(held):
+        at = np.sort(np.concatenate(held))
+        ends = np.searchsorted(at, np.arange(slices + 1, dtype=np.int64) * step)
+        counts = [np.minimum(np.bincount(at[ends[i] : ends[i + 1]] - i * step, minlength=step), 65535).astype(np.uint16) for i in range(slices)]
+        return pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for c in counts], pa.binary())], ["slice", "counts"])
 
     def count(batches):
-        total = np.zeros(size, np.uint32)
+        held, n = [], 0
         for whole in batches:
             for b in _chunks(whole):
-                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(1)]
-                if sets:
-                    total += np.bincount((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), minlength=size).astype(np.uint32)
-        step = size // slices
-        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([total[i * step : (i + 1) * step].tobytes() for i in range(slices)], pa.binary())], ["slice", "counts"])
+                for x in b.column(1):
+                    s = np.frombuffer(x.as_buffer(), np.uint64)
+                    held.append((s >> np.uint64(64 - bits)).astype(np.int64))
+                    n += len(s)
+                if n >= COUNTED:
+                    yield packed(held)
+                    held, n = [], 0
+        if held:
+            yield packed(held)
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for i, c in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                sums[i] = sums.get(i, 0) + np.frombuffer(c.as_buffer(), np.uint32).astype(np.int64)
-        out = []
-        for v in sums.values():
-            mean = np.median(v)
-            out.append(np.clip(np.ceil(np.log2(np.maximum(v, 1) / (mean + 6 * math.sqrt(mean) + 8))), 0, 60).astype(np.uint8).tobytes())
+                sums[i] = sums.get(i, 0) + np.frombuffer(zlib.decompress(c.as_buffer()), np.uint16).astype(np.int64)
+        out = [np.where(v < 128, v, np.minimum(255, 128 + 4 * np.log2(np.maximum(v, 128) / 128))).astype(np.uint8).tobytes() for v in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(out, pa.binary())], ["slice", "levels"])
 
     counts = _members(nodes).mapInArrow(count, "slice int, counts binary")
-    rows = counts.repartition(slices, "slice").mapInArrow(add, "slice int, levels binary").collect()
+    rows = counts.repartition(slices, "slice").mapInArrow(add, "slice int, levels binary").toLocalIterator()
     out = np.zeros(size, np.uint8)
     for r in rows:
-        out[r[0] * (size // slices) : (r[0] + 1) * (size // slices)] = np.frombuffer(r[1], np.uint8)
+        out[r[0] * step : (r[0] + 1) * step] = np.frombuffer(r[1], np.uint8)
     return out
 
 
@@ -171,10 +186,9 @@ def _blocks(nodes: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
                         continue
                     seen.add(node)
                     s = np.frombuffer(x.as_buffer(), np.uint64)
-                    level = held.value[(s >> np.uint64(64 - bits)).astype(np.int64)]
+                    rank = held.value[(s >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | mix(s) >> np.uint64(8)
                     k = prefix_length(len(s))
-                    hashed = mix(s)
-                    chosen = s[np.lexsort((hashed, level))[:k]] if level.any() else s[np.argpartition(hashed, k - 1)[:k]]
+                    chosen = s[np.argpartition(rank, k - 1)[:k]]
                     keys.append(chosen)
                     nodes.append(np.full(k, node, np.int64))
         if not keys:
@@ -313,12 +327,42 @@ def _verified(pairs: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame
     return out
 
 
-def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
+def _forest(batches):
+    """Every node of the links (a, b) of one task with the smallest node that these links join it to."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            up.setdefault(a, a)
+            up.setdefault(b, b)
+            x, y = root(a), root(b)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    nodes = list(up)
+    for i in range(0, len(nodes), 100_000):
+        part = nodes[i : i + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], ["node", "label"])
+
+
+def connected(links: DataFrame, scratch: Scratch, each: int = LINKS) -> DataFrame:
     """(node, label): the smallest node of its component, for every node that a link (a, b) touches.
 
-    Smallest neighbour labels with pointer jumping, each round a written table; rounds grow with the logarithm of the
-    longest path."""
-    both = scratch.table(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
+    Tasks of some `each` links contract them to trees of depth one. Trees of several tasks are joined by smallest
+    neighbour labels with pointer jumping, each round a written table; rounds grow with the logarithm of the longest path."""
+    tasks = max(1, -(-links.count() // each))
+    links = links.select("a", "b")
+    links = links.coalesce(1) if tasks == 1 else links.repartition(tasks)
+    forest = scratch.table(links.mapInArrow(_forest, "node long, label long"), "forest")
+    if tasks == 1:
+        return forest
+    links = forest.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    both = scratch.table(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
     labels = scratch.table(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("node"), "label"), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
@@ -502,12 +546,12 @@ def _points(members: pd.Series) -> pd.Series:
     return pd.Series([_point(np.frombuffer(m, np.uint64)) for m in members], dtype="object")
 
 
-def node_links(nodes: DataFrame, scratch: Scratch, bits: int = GROUP_BITS) -> DataFrame | None:
+def node_links(nodes: DataFrame, scratch: Scratch, bits: int | None = None) -> DataFrame | None:
     """(node, label) of all nodes with a link; None when no two documents share a first shingle."""
     total = nodes.agg(F.sum("n")).first()[0] or 0
     if not total:
         return None
-    levels = group_levels(nodes, bits)
+    levels = group_levels(nodes, bits or group_bits(total))
     buckets = max(24, total // 4_000_000)
     blocks = scratch.table(_blocks(nodes, levels, buckets), "blocks")
     scratch.settle()
@@ -534,7 +578,7 @@ def node_links(nodes: DataFrame, scratch: Scratch, bits: int = GROUP_BITS) -> Da
     return connected(scratch.table(links.union(more), "links"), scratch)
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, bits: int = GROUP_BITS) -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, bits: int | None = None) -> DataFrame:
     """(id, n_shingles, component_id) per document."""
     scratch = scratch or Scratch(docs.sparkSession)
     nodes = scratch.table(_nodes(docs, id_col, text_col), "nodes")

@@ -70,3 +70,19 @@ def test_hot_family(spark, parts):
     assert got == sorted(expected_components([x[:2] for x in rows]).elements())
     kept = ngram_join.drop_near_copies(docs)
     assert kept.columns == docs.columns and sorted(x.doc_id for x in kept.collect()) == sorted({c for _, _, c in got})
+
+
+def test_connected_in_one_task_and_in_many(spark):
+    r = random.Random(4)
+    links = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)]
+    up = {x: x for p in links for x in p}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            least = min(up[a], up[b])
+            changed |= up[a] != least or up[b] != least
+            up[a] = up[b] = least
+    df = spark.createDataFrame(links, "a long, b long")
+    for each in (1 << 20, 40):
+        assert dict(tuple(x) for x in ngram_join.connected(df, ngram_join.Scratch(spark), each).collect()) == up
