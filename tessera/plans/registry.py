@@ -18,24 +18,13 @@ from tessera.operators import matrix as mx
 from tessera.operators import relational as rel
 from tessera.operators import sampling as smp
 from tessera.operators import stats
+from tessera.plans import keyed, readouts  # noqa: F401  they register their queries
+from tessera.plans.base import QUERIES as _Q
+from tessera.plans.base import SQL as _SQL
+from tessera.plans.base import query as _query
+from tessera.plans.base import r6
 from tessera.sources import scans
 
-_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    def add(f):
-        _Q[f.__name__] = lambda spark, d: f(lambda t: spark.read.parquet(f"{d}/{t}.parquet"))
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-r6 = lambda c: F.round(c, 6)
-
 PRE_POST = "(select l_orderkey as k, count(*) as pre, sum(case when l_returnflag = 'N' then 1 else 0 end) as post from lineitem group by 1)"
 
 
