@@ -2,8 +2,9 @@
 
 Every text is searched for the base kinds (assign, access, hex) and for generic candidates: runs of 20 or more
 characters of [A-Za-z0-9_-] with a letter, a digit and `min_distinct` different characters. A candidate's hash is
-counted by distinct owners and repositories over the whole corpus. One seen under few owners looks live and is added
-as a span of kind `live`; one that many owners copied is an example and is not. Base spans always stay.
+counted by distinct owners and repositories over the whole corpus. One seen under few owners and in few repositories
+looks live and is added as a span of kind `live`; one that many owners, or many repositories of few owners, copied is an
+example and is not. Base spans always stay.
 
 Positions come from splitting a text at its matches: a match starts where the pieces and matches before it end. Spark's
 length() counts code points.
@@ -51,7 +52,7 @@ def _joined(spans: str) -> str:
     return f"array_join(transform(array_sort({spans}), s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = 2, min_distinct: int = 10, scratch: Scratch | None = None) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = 2, max_repos: int = 4, min_distinct: int = 10, scratch: Scratch | None = None) -> DataFrame:
     """One row per document: counts of the base kinds, their digest, and all spans; n_live and n_example count candidates by ownership."""
     scratch = scratch or Scratch(docs.sparkSession)
     name = lambda c: F.coalesce(docs[c].cast("string"), F.lit(""))
@@ -66,10 +67,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     candidates = scratch.table(rows.filter("size(base) + size(generic) > 0").select("row", "owner", "repo", F.explode(F.concat("base", "generic")).alias("s")).select("row", "owner", "repo", "s", F.col("s.value").alias("value")), "candidates")
     owned = candidates.select("value", "owner", "repo").distinct().groupBy("value").agg(F.countDistinct("owner").alias("owners"), F.count("*").alias("repos"))
     owned = scratch.table(owned, "owned")
+    few = f"owners <= {max_owners} and repos <= {max_repos}"
     judged = candidates.join(owned, "value").groupBy("row").agg(
-        F.expr(f"collect_list(if(s.ord = 9 and owners <= {max_owners}, s, null))").alias("live"),
-        F.expr(f"count_if(owners <= {max_owners})").alias("n_live"),
-        F.expr(f"count_if(owners > {max_owners})").alias("n_example"),
+        F.expr(f"collect_list(if(s.ord = 9 and {few}, s, null))").alias("live"),
+        F.expr(f"count_if({few})").alias("n_live"),
+        F.expr(f"count_if(not ({few}))").alias("n_example"),
     )
     out = rows.join(judged, "row", "left").withColumn("all", F.expr("concat(base, coalesce(live, array()))"))
     return out.select(
