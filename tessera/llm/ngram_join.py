@@ -35,6 +35,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType
@@ -44,7 +45,8 @@ from tessera.llm.shingles import mix, set_hash, shingle_sets
 
 PERCENT = 75  # a link: 100 * intersection >= PERCENT * union
 MOST_BITS = 25
-COUNTED = 1 << 23
+COUNTED = 1 << 22
+TEXT_BYTES = 1 << 20
 LINKS = 1 << 20
 DIMENSIONS = 256
 LEAF = 64
@@ -73,6 +75,16 @@ def _chunks(batch: pa.RecordBatch):
         yield batch.slice(k, CHUNK)
 
 
+def _texts(batch: pa.RecordBatch):
+    """Slices of some TEXT_BYTES of text, since shingling takes some 50 bytes a byte; a longer text stands alone."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TEXT_BYTES, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _point(values: np.ndarray) -> bytes:
     """How many shingles of a set fall in each group, held at 255."""
     bits = max(DIMENSIONS.bit_length() - 1, (len(values) - 1).bit_length() - 2)
@@ -86,7 +98,7 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
         seen: set[int] = set()
         for whole in batches:
-            for b in _chunks(whole):
+            for b in _texts(whole):
                 sets = shingle_sets(b.column(1))
                 names = [set_hash(s) if len(s) else None for s in sets]
                 members = []
@@ -118,7 +130,8 @@ def group_levels(nodes: DataFrame, bits: int) -> np.ndarray:
     step = size // slices
 
     def packed(held):
-        at = np.sort(np.concatenate(held))
+        at = np.concatenate(held).astype(np.int64)
+        at.sort()
         ends = np.searchsorted(at, np.arange(slices + 1, dtype=np.int64) * step)
         counts = [np.minimum(np.bincount(at[ends[i] : ends[i + 1]] - i * step, minlength=step), 65535).astype(np.uint16) for i in range(slices)]
         return pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for c in counts], pa.binary())], ["slice", "counts"])
@@ -129,7 +142,7 @@ def group_levels(nodes: DataFrame, bits: int) -> np.ndarray:
             for b in _chunks(whole):
                 for x in b.column(1):
                     s = np.frombuffer(x.as_buffer(), np.uint64)
-                    held.append((s >> np.uint64(64 - bits)).astype(np.int64))
+                    held.append((s >> np.uint64(64 - bits)).astype(np.uint32))
                     n += len(s)
                 if n >= COUNTED:
                     yield packed(held)
