@@ -4,13 +4,15 @@ The perplexity comes from a modified Kneser-Ney model of character 6-grams over
 Spark counts the 6-grams of every whole text, derives the lower orders and joins up the probabilities; the model grows
 with the corpus. Each 6-gram has its probability with one occurrence of its own taken out of the counts, since the
 texts that are scored are those the model is trained on. Up to MODEL_BOUND entries the model is broadcast as sorted
-arrays of hashed 6-grams; beyond, it stays partitioned and the 6-grams of the texts are joined with it. Per language, the quartiles of log perplexity over all documents of `min_words` words or more give the
-band [q1 - width, q3 + width] with width = reach * max(q3 - q1, floor) + slack / sqrt(characters in words), the last
-part for the spread that a short text's mean has by chance; a document outside is rejected.
+arrays of hashed 6-grams; beyond, it stays partitioned and the 6-grams of the texts are joined with it. log_ppl is the
+log perplexity per word: words with marks hung on cost more, words cut up by marks less, whatever a character costs. Per
+language, the quartiles of log_ppl over all documents of `min_words` words or more give the band [q1 - width, q3 + width]
+with width = reach * max(q3 - q1, floor) + slack / sqrt(characters in words), the last part for the spread that a short
+text's mean has by chance; a document outside is rejected.
 
 Defined results: null and empty texts have no words, all counts 0, null log_ppl, and fail the base rule; a null
-language is a language of its own; repeated rows each count and get equal verdicts; an empty table gives an empty
-result; other columns pass through in `filter_quality` and are not read in `score`.
+language is a language of its own; repeated rows each count and get equal verdicts; very long texts are read whole; a
+log_ppl on the edge of its band is kept; an empty table gives an empty result; other columns pass through in `filter_quality` and are not read in `score`.
 """
 
 from __future__ import annotations
@@ -309,16 +311,20 @@ def _scorer(docs: DataFrame, model: DataFrame, text_col: str, scratch: Scratch):
     def features(batches: "pd.Series") -> pd.DataFrame:
         texts = batches.fillna("").tolist()
         out = pd.DataFrame([word_counts(t) for t in texts], columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"], dtype="int64")
-        out["log_ppl"] = np.nan if held is None else log_perplexity(*held.value, texts)
+        if held is not None:
+            out["log_ppl"] = log_perplexity(*held.value, texts) * [len(t) for t in texts] / out["n_words"].where(out["n_words"] > 0)
+        else:
+            out["log_ppl"] = np.nan
         return out
 
     def add(*columns) -> DataFrame:
-        out = docs.select(*columns, features(text).alias("f"), *([] if whole else [_text_hash(text).alias("__tessera_text")]))
+        out = docs.select(*columns, features(text).alias("f"), *([] if whole else [_text_hash(text).alias("__tessera_text"), F.length(text).alias("__tessera_n")]))
         kept = out.columns[: len(columns)]
         if whole:
             return out.select(*kept, "f.*")
-        out = out.select(*kept, "f.*", "__tessera_text").drop("log_ppl")
-        return out.join(ppl.hint("merge"), F.col("__tessera_text") == F.col("text_hash"), "left").drop("__tessera_text", "text_hash")
+        out = out.select(*kept, "f.*", "__tessera_text", "__tessera_n").drop("log_ppl")
+        out = out.join(ppl.hint("merge"), F.col("__tessera_text") == F.col("text_hash"), "left")
+        return out.withColumn("log_ppl", F.try_divide(F.col("log_ppl") * F.col("__tessera_n"), F.col("n_words"))).drop("__tessera_text", "__tessera_n", "text_hash")
 
     return add
 
@@ -327,11 +333,11 @@ FAILED = "(n_words < {0} or 100 * n_repeat_words > 50 * n_words)"
 
 
 def _bands(scored: DataFrame, min_words: int, reach: float, floor: float) -> DataFrame:
-    """(language, low, high), before the part for short texts, from an exact histogram of log perplexity in steps of 0.001 over all documents."""
-    bins = scored.filter(f"n_words >= {min_words} and log_ppl is not null and not isnan(log_ppl)").groupBy("language", F.floor(F.col("log_ppl") * 1000).alias("bin")).agg(F.count("*").alias("n"))
-    # At most some 30,000 bins a language, whatever the corpus holds.
+    """(language, low, high), before the part for short texts, from an exact histogram of log perplexity in steps of 0.01 over all documents."""
+    bins = scored.filter(f"n_words >= {min_words} and log_ppl is not null and not isnan(log_ppl)").groupBy("language", F.floor(F.least(F.col("log_ppl"), F.lit(1000.0)) * 100).alias("bin")).agg(F.count("*").alias("n"))
+    # At most 100,001 bins a language, whatever the corpus holds.
     laid = bins.groupBy("language").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("h"), F.sum("n").alias("total"))
-    at = lambda q: F.expr(f"aggregate(h, named_struct('c', 0L, 'v', cast(null as double)), (a, x) -> if(a.v is not null, a, named_struct('c', a.c + x.n, 'v', if(a.c + x.n >= total * {q}, cast(x.bin as double) / 1000, null))), a -> a.v)")
+    at = lambda q: F.expr(f"aggregate(h, named_struct('c', 0L, 'v', cast(null as double)), (a, x) -> if(a.v is not null, a, named_struct('c', a.c + x.n, 'v', if(a.c + x.n >= total * {q}, cast(x.bin as double) / 100, null))), a -> a.v)")
     q = laid.select("language", at(0.25).alias("q1"), at(0.75).alias("q3"))
     width = F.greatest(F.col("q3") - F.col("q1"), F.lit(floor)) * reach
     return q.select("language", (F.col("q1") - width).alias("low"), (F.col("q3") + width).alias("high"))
@@ -349,7 +355,7 @@ def _kept(min_words: int, slack: float):
     return F.expr(f"not {FAILED.format(min_words)} and coalesce(log_ppl between low - {slack} / sqrt(greatest(word_chars, 1)) and high + {slack} / sqrt(greatest(word_chars, 1)), true)")
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = 50, reach: float = 1.0, floor: float = 0.03, slack: float = 2.5, scratch: Scratch | None = None) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = 50, reach: float = 1.5, floor: float = 0.1, slack: float = 12.0, scratch: Scratch | None = None) -> DataFrame:
     """One row per document: counts, log_ppl, base_failed and kept."""
     scratch = scratch or Scratch(docs.sparkSession)
     add = _scorer(docs, fit(docs, scratch, text_col), text_col, scratch)
@@ -358,7 +364,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return _with_bands(scored, bands).select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.expr(FAILED.format(min_words)).alias("base_failed"), _kept(min_words, slack).alias("kept"), "log_ppl")
 
 
-def filter_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_words: int = 50, reach: float = 1.0, floor: float = 0.03, slack: float = 2.5, scratch: Scratch | None = None) -> DataFrame:
+def filter_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_words: int = 50, reach: float = 1.5, floor: float = 0.1, slack: float = 12.0, scratch: Scratch | None = None) -> DataFrame:
     """The rows of docs that `score` keeps, with their columns; texts are scored again rather than shuffled."""
     scratch = scratch or Scratch(docs.sparkSession)
     add = _scorer(docs, fit(docs, scratch, text_col), text_col, scratch)
