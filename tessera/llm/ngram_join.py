@@ -49,8 +49,9 @@ COUNTED = 1 << 22
 TEXT_BYTES = 1 << 20
 LINKS = 1 << 20
 DIMENSIONS = 256
-LEAF = 64
-LEAF_BYTES = 1 << 18
+LEAF = 128
+LEAF_BYTES = 1 << 19
+SLICE = 1 << 13
 LEAST_SLICES, MOST_SLICES = 16, 1024
 CHUNK = 256
 
@@ -471,10 +472,10 @@ def uniting_links(a: Leaf, b: Leaf) -> list[tuple[int, int]]:
 
 
 def _leaves(held: DataFrame, scratch: Scratch) -> DataFrame:
-    """Leaves of the members (center, label, n, node, point, members) of every centre, in order of component and size; a
-    leaf is named by its first node. members is null where sets are not carried.
+    """Leaves of the members (center, slice, label, n, node, point, members) of every centre, in order of component and
+    size; a leaf is named by its first node. members is null where sets are not carried.
 
-    A distributed sort lays equal centres side by side, over several tasks where they are many; each task cuts its own."""
+    A centre of many members is dealt in slices of some SLICE; each task sorts and cuts the slices it gets."""
 
     def corner(rows):
         low = [np.frombuffer(r[3], np.uint8).reshape(DIMENSIONS, -1) for r in rows]
@@ -490,14 +491,14 @@ def _leaves(held: DataFrame, scratch: Scratch) -> DataFrame:
             kind = [pa.int64()] * 5 + [pa.binary()] * 2
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in ready], k) for i, k in enumerate(kind)], ["center", "leaf", "pure", "least", "most", "high", "data"])
 
-        now, rows, size, ready = None, [], 0, []
+        now, part, rows, size, ready = None, None, [], 0, []
         for whole in batches:
             for b in _chunks(whole):
-                for center, label, n, node, point, members in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
-                    if rows and (center != now or len(rows) == LEAF or size > LEAF_BYTES):
+                for center, piece, label, n, node, point, members in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
+                    if rows and (center != now or piece != part or len(rows) == LEAF or size > LEAF_BYTES):
                         ready.append(leaf(now, rows))
                         rows, size = [], 0
-                    now = center
+                    now, part = center, piece
                     rows.append((label, node, n, point, members))
                     size += len(point) + len(members or b"")
                     if len(ready) == LEAF:
@@ -508,11 +509,9 @@ def _leaves(held: DataFrame, scratch: Scratch) -> DataFrame:
         if ready:
             yield out()
 
-    order = ["center", "label", "n", "node"]
     schema = "center long, leaf long, pure long, least long, most long, high binary, data binary"
-    held = scratch.table(held.select("center", "label", "n", "node", "point", "members"), "held")
-    leaves = scratch.table(held.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(cut, schema), "leaves")
-    scratch.drop(held)
+    dealt = held.select("center", "slice", "label", "n", "node", "point", "members").repartition("center", "slice").sortWithinPartitions("center", "slice", "label", "n", "node")
+    leaves = scratch.table(dealt.mapInArrow(cut, schema), "leaves")
     scratch.settle()
     return leaves
 
@@ -522,11 +521,18 @@ def _meeting(leaves: DataFrame, meet, schema: str, names: list[str], scratch: Sc
     boxes = leaves.drop("data")
     other = boxes.select("center", *[F.col(c).alias(c + "_b") for c in ("leaf", "pure", "least", "most", "high")])
     near = boxes.join(other.hint("merge"), "center").filter(f"leaf <= leaf_b and coalesce(pure != pure_b, true) and 100 * most >= {PERCENT} * least_b and 100 * most_b >= {PERCENT} * least")
-    near = scratch.table(near.filter(_boxes_meet("high", "high_b", "least", "least_b")).select("center", "leaf", "leaf_b"), "near")
+    near = near.filter(_boxes_meet("high", "high_b", "least", "least_b")).select("center", "leaf", "leaf_b")
 
     def run(batches):
+        # At most the members that the task meets; a leaf comes with many others.
+        given: set[tuple[int, int]] = set()
         for b in batches:
-            out = [x for c, left, right in zip(*(b.column(k) for k in range(3)), strict=True) for x in meet(Leaf(left.as_buffer()), Leaf(right.as_buffer()), c.as_py())]
+            out = []
+            for c, left, right in zip(*(b.column(k) for k in range(3)), strict=True):
+                for x in meet(Leaf(left.as_buffer()), Leaf(right.as_buffer()), c.as_py()):
+                    if x not in given:
+                        given.add(x)
+                        out.append(x)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names)
 
     one = leaves.select("center", "leaf", F.col("data").alias("left"))
@@ -544,7 +550,7 @@ def _alive(a: Leaf, b: Leaf, center: int) -> list[tuple[int, int]]:
 
 
 def _leaf_links(members: DataFrame, points: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b): links that join components, of the members (center, node, label) of every centre."""
+    """(a, b): links that join components, of the members (center, slice, node, label) of every centre."""
     held = members.join(points.hint("merge"), "node").withColumn("members", F.lit(None).cast("binary"))
     alive = _meeting(_leaves(held, scratch), _alive, "center long, node long", ["center", "node"], scratch)
     members = scratch.table(members.join(alive.hint("merge"), ["center", "node"]), "alive")
@@ -582,8 +588,8 @@ def node_links(nodes: DataFrame, scratch: Scratch, bits: int | None = None) -> D
     members = scratch.table(_labelled(members, labels), "members")
     # Two members that have met and are apart stay apart.
     open_ = members.groupBy("center").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"), F.bool_and(F.coalesce("met", F.lit(False))).alias("met"))
-    open_ = scratch.table(open_.filter("lo != hi and not (size = 2 and met)").select("center"), "open")
-    members = scratch.table(members.join(open_, "center").select("center", "node", "label"), "apart")
+    open_ = open_.filter("lo != hi and not (size = 2 and met)").select("center", F.expr(f"size div {SLICE} + 1").alias("slices"))
+    members = scratch.table(members.join(open_, "center").select("center", F.expr("pmod(xxhash64(node), slices)").alias("slice"), "node", "label"), "apart")
     scratch.settle()
     if members.isEmpty():
         return labels
@@ -598,8 +604,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labels = node_links(nodes, scratch, bits)
     sets = nodes.filter("node is not null").groupBy("node").agg(F.min("id").alias("first"))
     placed = _labelled(sets, labels)
-    firsts = scratch.table(placed.groupBy("label").agg(F.min("first").alias("component")), "firsts")
-    placed = scratch.table(placed.join(firsts, "label").select("node", "component"), "placed")
+    firsts = placed.groupBy("label").agg(F.min("first").alias("component"))
+    placed = placed.join(firsts, "label").select("node", "component")
     out = nodes.join(placed, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
