@@ -51,9 +51,10 @@ def entropy(df: DataFrame, key: str, value: str) -> DataFrame:
 
 def annotate_top(df: DataFrame, key: str, label: str, value: str, ambiguous: float = 0.8) -> DataFrame:
     """Best and second label per key with margin and ratio; AMBIGUOUS where the second comes within the ratio."""
-    s = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct((-F.col(value)).alias("v"), F.col(label).alias("l")))).alias("s"))
-    first, second = F.try_element_at("s", F.lit(1)), F.try_element_at("s", F.lit(2))
-    out = s.select(key, first["l"].alias("top"), (-first["v"]).alias("best"), second["l"].alias("runner_up"), (-second["v"]).alias("second"))
+    # The rank limit drops rows before the exchange; no key is gathered whole.
+    two = df.withColumn("__rn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(value), label))).filter("__rn <= 2")
+    at = lambda c, n: F.max(F.when(F.col("__rn") == n, F.col(c)))
+    out = two.groupBy(key).agg(at(label, 1).alias("top"), at(value, 1).alias("best"), at(label, 2).alias("runner_up"), at(value, 2).alias("second"))
     ratio = F.try_divide(F.col("second"), F.col("best"))
     return out.withColumns({"margin": F.col("best") - F.col("second"), "call": F.when(ratio >= ambiguous, "AMBIGUOUS").otherwise(F.col("top").cast("string"))})
 

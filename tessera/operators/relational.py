@@ -28,10 +28,10 @@ def top_n(df: DataFrame, by: Sequence[Column], n: int, keys: Sequence[str] = ())
 
 
 def top_two(df: DataFrame, key: str, item: str, value: str) -> DataFrame:
-    """Best and second value per key with their items; 0 for an absent second. Aggregated map-side, without a window."""
-    two = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct((-F.col(value)).alias("v"), F.col(item).alias("i")))).alias("s"))
-    at = lambda k, f: F.try_element_at("s", F.lit(k))[f]
-    return two.select(key, at(1, "i").alias("top1"), (-at(1, "v")).alias("n1"), at(2, "i").alias("top2"), F.coalesce(-at(2, "v"), F.lit(0)).alias("n2"))
+    """Best and second value per key with their items; 0 for an absent second. The rank limit drops rows before the exchange."""
+    two = top_n(df.select(key, item, value), [F.desc(value), F.col(item)], 2, [key]).withColumn("__first", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(value), F.col(item))) == 1)
+    at = lambda c, first: F.max(F.when(F.col("__first") == first, F.col(c)))
+    return two.groupBy(key).agg(at(item, True).alias("top1"), at(value, True).alias("n1"), at(item, False).alias("top2"), F.coalesce(at(value, False), F.lit(0)).alias("n2"))
 
 
 def share_of_total(df: DataFrame, value: str, keys: Sequence[str], name: str = "share") -> DataFrame:

@@ -143,10 +143,10 @@ def cell_presence_count(t):
     return t("events").groupBy("user_id").agg(F.count_distinct("event_type").alias("stages")).groupBy("stages").agg(F.count("*").alias("n"))
 
 
-@_query("""select k, amount, null as kind from (select o_custkey as k, o_totalprice as amount from orders where o_custkey <= 50) union all select user_id, value, event_type from events where user_id <= 20""")
+@_query("""select k, amount, null as kind from (select o_custkey as k, o_totalprice as amount from orders) union all select user_id, value, event_type from events""")
 def multiset_union_fill(t):
-    a = t("orders").filter("o_custkey <= 50").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("amount"))
-    return rel.union_fill([a, t("events").filter("user_id <= 20").select(F.col("user_id").alias("k"), F.col("value").alias("amount"), F.col("event_type").alias("kind"))])
+    a = t("orders").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("amount"))
+    return rel.union_fill([a, t("events").select(F.col("user_id").alias("k"), F.col("value").alias("amount"), F.col("event_type").alias("kind"))])
 
 
 @_query("""select l_suppkey, count(*) as t_all, count(*) filter (where l_returnflag = 'R') as m, round(count(*) filter (where l_returnflag = 'R') * 1.0 / count(*), 6) as purity,
@@ -240,11 +240,13 @@ def coverage_depth(t):
     return iv.coverage(_windows(t), ["k"], "s", "e").groupBy("k").agg(F.max("depth").alias("peak"), F.sum(F.col("depth") * (F.col("end") - F.col("start"))).alias("area"))
 
 
-@_query("""with c as (select distinct upper(substr(replace(p_name, ' ', ''), 1, 5)) as code from part), w as (select code as white from c order by 1 limit 40)
+@_query("""with n as (select upper(substr(replace(p_name, ' ', ''), 1, 5)) as code, count(*) as n from part group by 1), c as (select code from n), w as (select code as white from n where n >= (select avg(n) from n))
 select code, min(hamming(code, white)) as best from c cross join w where length(code) = 5 and length(white) = 5 and position('N' in code) = 0 and position('N' in white) = 0 group by 1""")
 def whitelist_hamming(t):
-    c = t("part").select(F.upper(F.substring(F.replace("p_name", F.lit(" "), F.lit("")), 1, 5)).alias("code")).distinct()
-    w = c.orderBy("code").limit(40).select(F.col("code").alias("white"))
+    # The whitelist holds the codes of at least mean frequency.
+    n = t("part").groupBy(F.upper(F.substring(F.replace("p_name", F.lit(" "), F.lit("")), 1, 5)).alias("code")).agg(F.count("*").alias("n"))
+    c = n.select("code")
+    w = n.join(F.broadcast(n.agg(F.avg("n").alias("mean")))).filter("n >= mean").select(F.col("code").alias("white"))
     ok = lambda x: (F.length(x) == 5) & (F.instr(x, "N") == 0)
     return c.filter(ok(F.col("code"))).crossJoin(F.broadcast(w.filter(ok(F.col("white"))))).groupBy("code").agg(F.min(st.hamming(F.col("code"), F.col("white"))).cast("long").alias("best"))
 
@@ -443,9 +445,9 @@ def majority_label(t):
     return rel.majority(t("customer"), "c_nationkey", "c_mktsegment").withColumn("purity", r6("purity"))
 
 
-@_query("select user_id, total, rank from (select user_id, count(*) as total, row_number() over (order by count(*) desc, user_id) as rank from events group by 1) where total >= 100")
+@_query("select user_id, total, rank from (select user_id, count(*) as total, row_number() over (order by count(*) desc, user_id) as rank from events group by 1) where total >= 70")
 def rank_depth_curve(t):
-    return rel.rank_depth_cut(t("events").groupBy("user_id").agg(F.count("*").alias("total")), "total", 100, "user_id").withColumn("rank", F.col("rank").cast("long"))
+    return rel.rank_depth_cut(t("events").groupBy("user_id").agg(F.count("*").alias("total")), "total", 70, "user_id").withColumn("rank", F.col("rank").cast("long"))
 
 
 @_query("""with e as (select vec_id, label, cast(embedding[1] as double) as x from embeddings) select label, round(quantile_cont(x, 0.25), 6) as q1, round(quantile_cont(x, 0.5), 6) as q2, round(quantile_cont(x, 0.75), 6) as q3 from e group by 1""")
