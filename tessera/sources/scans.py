@@ -35,7 +35,7 @@ def narrow_peak(spark: SparkSession, path: str) -> DataFrame:
 def gff_genes(spark: SparkSession, path: str, feature: str = "gene") -> DataFrame:
     """(geneID, chrom, start, end, strand); fields beyond the ninth belong to the attributes, shorter lines go."""
     p = spark.read.text(path).filter(~F.col("value").startswith("#")).select(F.split("value", "\t").alias("p")).filter(F.size("p") >= 9)
-    a = p.select(*[F.col("p")[i].alias(n) for i, n in ((0, "chrom"), (2, "kind"), (3, "start"), (4, "end"), (6, "strand"))], F.array_join(F.slice("p", 9, 1_000), " ").alias("a")).filter(F.col("kind") == feature)
+    a = p.select(*[F.col("p")[i].alias(n) for i, n in ((0, "chrom"), (2, "kind"), (3, "start"), (4, "end"), (6, "strand"))], F.array_join(F.slice("p", F.lit(9), F.size("p")), " ").alias("a")).filter(F.col("kind") == feature)
     return a.select(F.regexp_replace(F.regexp_extract("a", "ID=([^;]+)", 1), "^gene:", "").alias("geneID"), "chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "strand")
 
 
@@ -56,7 +56,7 @@ def vcf_genotypes(spark: SparkSession, path: str, samples: list[str]) -> DataFra
 def sam(spark: SparkSession, path: str) -> DataFrame:
     """Alignments with their tags as a map and their CIGAR spans."""
     p = spark.read.text(path).filter(~F.col("value").startswith("@")).select(F.split("value", "\t").alias("p")).filter(F.size("p") >= 11)
-    tags = F.map_from_entries(F.transform(F.slice("p", 12, 1_000), lambda t: F.struct(F.substring_index(t, ":", 1), F.regexp_replace(t, "^[^:]*:[^:]*:", ""))))
+    tags = F.map_from_entries(F.transform(F.slice("p", F.lit(12), F.size("p")), lambda t: F.struct(F.substring_index(t, ":", 1), F.regexp_replace(t, "^[^:]*:[^:]*:", ""))))
     cols = ((0, "name", "string"), (1, "flag", "int"), (2, "chrom", "string"), (3, "pos", "long"), (4, "mapq", "int"), (5, "cigar", "string"), (9, "seq", "string"))
     return p.select(*[F.col("p")[i].cast(t).alias(n) for i, n, t in cols], tags.alias("tags")).withColumn("spans", cigar_spans(F.col("cigar")))
 
