@@ -175,5 +175,5 @@ def fisher_p(a: int, b: int, c: int, d: int) -> float:
 def permutation_p(observed: DataFrame, null: DataFrame, key: str, value: str) -> DataFrame:
     """(1 + draws at least as large) / (1 + draws) per key, with the effect z and the 95 % quantile of the draws."""
     j = observed.select(key, F.col(value).alias("__o")).join(null.select(key, F.col(value).alias("__v")), key, "left")
-    g = j.groupBy(key, "__o").agg(F.count("__v").alias("draws"), F.count_if(F.col("__v") >= F.col("__o")).alias("ge"), F.avg("__v").alias("m"), F.stddev_samp("__v").alias("s"), F.percentile("__v", F.lit(0.95)).alias("q95"))
-    return g.select(key, F.col("__o").alias(value), ((1 + F.col("ge")) / (1 + F.col("draws"))).alias("p"), F.when(F.col("s") > 0, (F.col("__o") - F.col("m")) / F.col("s")).alias("z"), "q95")
+    g = j.groupBy(key, "__o").agg(F.count("__v").alias("draws"), F.count_if(F.col("__v") >= F.col("__o")).alias("ge"), F.avg("__v").alias("__mean"), F.stddev_samp("__v").alias("__sd"), F.percentile("__v", F.lit(0.95)).alias("q95"))
+    return g.select(key, F.col("__o").alias(value), ((1 + F.col("ge")) / (1 + F.col("draws"))).alias("p"), F.when(F.col("__sd") > 0, (F.col("__o") - F.col("__mean")) / F.col("__sd")).alias("z"), "q95")
