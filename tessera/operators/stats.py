@@ -79,3 +79,25 @@ def signed_rank(df: DataFrame, difference: str) -> DataFrame:
     off = F.col("w") - F.col("n") * (F.col("n") + 1) / 4.0
     sd = F.sqrt(F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24.0 - F.col("ties"))
     return s.select("n", "w", F.try_divide(off - F.signum(off) * 0.5, sd).alias("z"))
+
+
+def ks_p(d, n, m):
+    """Asymptotic two-sided p of a Kolmogorov-Smirnov distance of samples of n and m, by 100 terms of Kolmogorov's series."""
+    root = F.sqrt(n * m / (n + m))
+    x = (root + 0.12 + 0.11 / root) * d
+    term = lambda s, i: s + F.when(i % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * i * i * x * x)
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), term)
+    return F.when(x < 0.2, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
+
+
+def normal_p(z):
+    """Two-sided p of a standard normal deviate."""
+    import math
+
+    import pandas as pd
+
+    @F.pandas_udf("double")
+    def p(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2.0))).astype("float64")
+
+    return p(z)

@@ -136,3 +136,15 @@ def neighbour_mixing_ratio(t):
     a = c.agg(F.sum("n").alias("n"), F.sum("other").alias("other"), F.sum(F.col("n") * F.col("n")).alias("sq"))
     mixing, expected = F.col("other") / F.col("n"), 1 - F.col("sq") / (F.col("n") * F.col("n"))
     return a.select(r6(mixing).alias("mixing"), r6(expected).alias("expected"), r6(F.try_divide(mixing, expected)).alias("obs_exp"))
+
+
+@query("""with e as (select value as v, count(*) filter (where event_type = 'click') as a, count(*) filter (where event_type = 'purchase') as b from events where event_type in ('click', 'purchase') group by 1), n as (select sum(a) as n, sum(b) as m from e),
+c as (select abs(sum(a) over (order by v) / n - sum(b) over (order by v) / m) as d, n, m from e, n), k as (select max(d) as d, any_value(n) as n, any_value(m) as m from c), x as (select d, (sqrt(n * m / (n + m)) + 0.12 + 0.11 / sqrt(n * m / (n + m))) * d as x from k)
+select round(d, 6) as d, round(case when x < 0.2 then 1 else greatest(0, least(1, (select sum((case when i % 2 = 1 then 2.0 else -2.0 end) * exp(-2.0 * i * i * x.x * x.x)) from (select unnest(generate_series(1, 100)) as i)))) end, 6) as p from x""")
+def ks_p_value(t):
+    from tessera.operators import stats
+
+    e = t("events").filter(F.col("event_type").isin("click", "purchase"))
+    n = e.agg(F.count_if(F.col("event_type") == "click").alias("n"), F.count_if(F.col("event_type") == "purchase").alias("m"))
+    d = stats.ks_distance(e, "event_type", "value", "click", "purchase").join(F.broadcast(n))
+    return d.select(r6("ks_d").alias("d"), r6(stats.ks_p(F.col("ks_d"), F.col("n").cast("double"), F.col("m").cast("double"))).alias("p"))

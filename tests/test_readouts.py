@@ -64,3 +64,31 @@ def test_guards(spark):
     anchors = spark.createDataFrame([("a", 0.0, 1), ("a", 10.0, 2)], "k string, at double, n int")
     points = spark.createDataFrame([("a", 5.0), ("a", -3.0), ("a", 10.0), ("z", 1.0)], "k string, at double")
     assert sorted((r.k, r.at, r.n, r.distance) for r in keyed.nearest_anchor(points, anchors, "k", "at", "n").collect() if r.n) == [("a", -3.0, 1, 3.0), ("a", 5.0, 1, 5.0), ("a", 10.0, 2, 0.0)]
+
+
+def test_p_values(spark):
+    from tessera.operators import stats
+
+    z = spark.createDataFrame([(0.0,), (1.959964,), (-1.959964,), (None,)], "z double")
+    got = [r.p for r in z.select(stats.normal_p(F.col("z")).alias("p")).collect()]
+    assert got[0] == 1.0 and math.isclose(got[1], 0.05, abs_tol=1e-6) and got[1] == got[2] and got[3] is None
+    one = spark.range(1).select(stats.ks_p(F.lit(0.0), F.lit(10.0), F.lit(10.0)).alias("a"), stats.ks_p(F.lit(1.0), F.lit(50.0), F.lit(50.0)).alias("b")).first()
+    assert one.a == 1.0 and one.b < 1e-12
+
+
+def test_guards_that_fail(spark):
+    from tessera.operators import blocks
+
+    df = spark.createDataFrame([("a", "x_B73"), ("b", "y_Mo17")], "k string, name string")
+    listed = spark.createDataFrame([("a",), ("zz",)], "k string")
+    assert [r.k for r in blocks.whitelisted(df, listed.filter("k = 'a'"), "k").collect()] == ["a"]
+    with pytest.raises(Exception, match="missing"):
+        blocks.whitelisted(df, listed, "k").collect()
+    label = F.element_at(F.split("name", "_"), -1)
+    assert [r.g for r in blocks.registered(df, {"B73": "1", "Mo17": "2"}, label, "g").collect()] == ["1", "2"]
+    with pytest.raises(Exception, match="not registered: Mo17"):
+        blocks.registered(df, {"B73": "1"}, label, "g").collect()
+    stated = df.withColumn("plate", label)
+    assert blocks.agreeing(stated, label, "plate", ["B73", "Mo17"]).count() == 2
+    with pytest.raises(Exception, match="disagrees"):
+        blocks.agreeing(stated, label, "plate", ["B73"]).collect()
