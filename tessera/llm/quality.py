@@ -172,8 +172,8 @@ def count_char_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def tally(texts):
         a, b, _ = char_grams(texts)
-        _, at, n = np.unique(gram_key(a, b), return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(a[at], pa.int64()), pa.array(b[at], pa.int64()), pa.array(n, pa.int64())], ["a", "b", "n"])
+        t = pa.table({"a": a, "b": b}).group_by(["a", "b"], use_threads=False).aggregate([([], "count_all")])
+        return pa.RecordBatch.from_arrays([t[c].combine_chunks().cast(pa.int64()) for c in ("a", "b", "count_all")], ["a", "b", "n"])
 
     def count(batches):
         held, chars = [], 0
@@ -232,19 +232,41 @@ def train_corpus(counts: DataFrame, scratch: Scratch) -> DataFrame:
     return below
 
 
-def log_perplexity(keys: np.ndarray, logp: np.ndarray, texts: list[str]) -> np.ndarray:
-    """Mean negative log probability per character; NaN for texts without any. keys: sorted hashes of the model's 6-grams."""
+def sorted_model(keys: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Sorted hashes of the model's 6-grams, their values, and where the hashes of each highest part begin, about one to a part."""
+    order = np.argsort(keys)
+    keys, logp = keys[order], logp[order].astype(np.float32)
+    bits = max(1, len(keys).bit_length())
+    starts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
+    return keys, logp, starts, bits
+
+
+def _place(model: tuple, wanted: np.ndarray) -> np.ndarray:
+    """Positions of hashes in the sorted array: the hashes of a part are looked through from its beginning."""
+    keys, _, starts, bits = model
+    at = starts[(wanted >> np.uint64(64 - bits)).astype(np.int64)].astype(np.int64)
+    left = np.arange(len(wanted))
+    while len(left):
+        here = at[left]
+        if here.max() >= len(keys):
+            raise ValueError("texts hold 6-grams that the model was not trained on")
+        found = keys[here]
+        if (found > wanted[left]).any():
+            raise ValueError("texts hold 6-grams that the model was not trained on")
+        left = left[found != wanted[left]]
+        at[left] += 1
+    return at
+
+
+def log_perplexity(model: tuple, texts: list[str]) -> np.ndarray:
+    """Mean negative log probability per character by a sorted model; NaN for texts without any."""
     out = np.full(len(texts), np.nan)
     for k in range(0, len(texts), 256):
         part = texts[k : k + 256]
         a, b, sizes = char_grams(part)
         if not len(a):
             continue
-        seen, back = np.unique(gram_key(a, b), return_inverse=True)
-        at, hit = _find(keys, seen)
-        if not hit.all():
-            raise ValueError("texts hold 6-grams that the model was not trained on")
-        sums = np.concatenate([[0.0], np.cumsum(logp[at][back], dtype=np.float64)])
+        sums = np.concatenate([[0.0], np.cumsum(model[1][_place(model, gram_key(a, b))], dtype=np.float64)])
         ends = np.cumsum(sizes)
         with np.errstate(invalid="ignore", divide="ignore"):
             out[k : k + len(part)] = -(sums[ends] - sums[ends - sizes]) / sizes
@@ -299,9 +321,7 @@ def _scorer(docs: DataFrame, model: DataFrame, text_col: str, scratch: Scratch):
     whole = model.count() <= MODEL_BOUND
     if whole:
         got = model.toArrow()
-        keys = gram_key(got["a"].to_numpy(), got["b"].to_numpy())
-        order = np.argsort(keys)
-        held = docs.sparkSession.sparkContext.broadcast((keys[order], got["logp"].to_numpy().astype(np.float32)[order]))
+        held = docs.sparkSession.sparkContext.broadcast(sorted_model(gram_key(got["a"].to_numpy(), got["b"].to_numpy()), got["logp"].to_numpy()))
         del got
     else:
         held = None
@@ -312,7 +332,7 @@ def _scorer(docs: DataFrame, model: DataFrame, text_col: str, scratch: Scratch):
         texts = batches.fillna("").tolist()
         out = pd.DataFrame([word_counts(t) for t in texts], columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"], dtype="int64")
         if held is not None:
-            out["log_ppl"] = log_perplexity(*held.value, texts) * [len(t) for t in texts] / out["n_words"].where(out["n_words"] > 0)
+            out["log_ppl"] = log_perplexity(held.value, texts) * [len(t) for t in texts] / out["n_words"].where(out["n_words"] > 0)
         else:
             out["log_ppl"] = np.nan
         return out
