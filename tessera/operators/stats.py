@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,9 +94,6 @@ def ks_p(d, n, m):
 
 def normal_p(z):
     """Two-sided p of a standard normal deviate."""
-    import math
-
-    import pandas as pd
 
     @F.pandas_udf("double")
     def p(x: pd.Series) -> pd.Series:
