@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontam, fim, html, line_dedup, merkle, ngram_join, packing, pii, quality, secrets, sharding, token_counts
+from tessera.llm import decontam, fim, html, line_dedup, merkle, ngram_join, packing, pii, quality, secrets, sharding, suffix_tree, token_counts
 from tessera.llm.common import read
 
 
@@ -33,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": lambda s, d: pii.scan(docs(s, d)),
         "op9_benchmark_decontamination": lambda s, d: decontam.find_leaks(docs(s, d), read(s, d, "benchmark")),
         "op10_best_fit_packing": lambda s, d: packing.pack_documents(docs(s, d), tokenizer_path()),
+        "op11_suffix_tree_scores": lambda s, d: suffix_tree.score(docs(s, d)),
         "op12_fill_in_middle": lambda s, d: fim.digests(docs(s, d)),
         "op13_merkle_manifest": lambda s, d: merkle.audit(docs(s, d)),
     }
@@ -80,6 +81,7 @@ def _crc_step() -> str:
 def oracle_sql() -> dict[str, str]:
     return {
         "op13_merkle_manifest": _merkle_sql(),
+        "op11_suffix_tree_scores": lambda s, d: suffix_tree.score(docs(s, d)),
         "op12_fill_in_middle": r"""
 with units as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as u, sha256('42:' || coalesce(cast(doc_id as varchar), 'null')) as d from documents),
 draw as (select *, len(u) as n, [('0x' || d[8 * k + 1:8 * k + 8])::ubigint for k in [0, 1, 2, 3]] as h from units),
