@@ -18,7 +18,7 @@ from tessera.operators import matrix as mx
 from tessera.operators import relational as rel
 from tessera.operators import sampling as smp
 from tessera.operators import stats
-from tessera.plans import blocks, draws, keyed, readouts  # noqa: F401  they register their queries
+from tessera.plans import blocks, consensus, draws, keyed, readouts  # noqa: F401  they register their queries
 from tessera.plans.base import QUERIES as _Q
 from tessera.plans.base import SQL as _SQL
 from tessera.plans.base import query as _query
@@ -353,7 +353,7 @@ def adjusted_rand(t):
     return g.adjusted_rand(t("customer").select("c_mktsegment", (F.col("c_nationkey") % 5).alias("bucket")), "c_mktsegment", "bucket").select(F.round("ari", 8).alias("ari"))
 
 
-@_query("""with m as (select s_suppkey as item, seed, (s_suppkey * 2654435761 + seed * 40503) % 4294967296 % 7 as label from supplier cross join (values (1), (2), (3), (4), (5)) v(seed) where s_suppkey <= 200)
+@_query("""with m as (select s_suppkey as item, seed, (s_suppkey * 2654435761 + seed * 40503) % 4294967296 % 7 as label from supplier cross join (values (1), (2), (3), (4), (5)) v(seed))
 select a.item as i, b.item as j, count(*) / 5.0 as f from m a join m b on a.seed = b.seed and a.label = b.label and a.item < b.item group by 1, 2""")
 def coassignment_f(t):
     s = t("supplier").select(F.col("s_suppkey").alias("item"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("seed"))
@@ -386,7 +386,7 @@ def spearman(t):
     return stats.spearman(t("part"), "p_size", "p_retailprice").select(F.round("rho", 8).alias("rho"))
 
 
-@_query("""with p as (select p_brand, p_partkey, (p_partkey * 7919 % 1000 + 1) / 1001.0 as p from part where p_partkey <= 2000), r as (select *, rank() over (partition by p_brand order by p) + count(*) over (partition by p_brand, p) - 1 as r, count(*) over (partition by p_brand) as n from p),
+@_query("""with p as (select p_brand, p_partkey, (p_partkey * 7919 % 1000 + 1) / 1001.0 as p from part), r as (select *, rank() over (partition by p_brand order by p) + count(*) over (partition by p_brand, p) - 1 as r, count(*) over (partition by p_brand) as n from p),
 q as (select *, p * n / r as q0 from r) select p_brand, p_partkey, round(least(1.0, min(q0) over (partition by p_brand order by p desc range between unbounded preceding and current row)), 8) as q from q""")
 def bh_adjust(t):
     p = t("part").select("p_brand", "p_partkey", F.expr("(p_partkey * 7919 % 1000 + 1) / 1001.0D").alias("p"))
