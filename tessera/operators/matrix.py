@@ -25,7 +25,11 @@ def tfidf(df: DataFrame, feature: str, cell: str, value: str, scale: float = 1e4
 
 def zscore(df: DataFrame, value: str, keys: Sequence[str], name: str) -> DataFrame:
     """(x - mean) / sample sd within keys; NULL where the sd is 0 or undefined."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
+    if not keys:
+        # One row for the whole table.
+        m = df.agg(F.avg(value).alias("__mean"), F.stddev_samp(value).alias("__sd"))
+        return df.crossJoin(F.broadcast(m)).withColumn(name, F.try_divide(F.col(value) - F.col("__mean"), F.col("__sd"))).drop("__mean", "__sd")
+    w = Window.partitionBy(*keys)
     return df.withColumn(name, F.try_divide(F.col(value) - F.avg(value).over(w), F.stddev_samp(value).over(w)))
 
 

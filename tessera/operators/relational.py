@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ordered import numbered
+
 
 def full_outer_fill(a: DataFrame, b: DataFrame, keys: Sequence[str], fill: Sequence[str]) -> DataFrame:
     """Full outer join on keys; absent counts become 0."""
@@ -81,7 +83,7 @@ def config_deviations(configs: DataFrame, name: str, baseline: str, columns: Seq
 
 def rank_depth_cut(df: DataFrame, depth: str, threshold: float, order: str) -> DataFrame:
     """Rows up to the last one, by falling depth, whose depth passes the threshold: those that pass it."""
-    return df.filter(F.col(depth) >= threshold).withColumn("rank", F.row_number().over(Window.orderBy(F.desc(depth), order)))
+    return numbered(df.filter(F.col(depth) >= threshold), [F.desc(depth), F.col(order)], "rank", 1)
 
 
 def label_rules(df: DataFrame, label: str, rules: Sequence[tuple[str, str]], otherwise: str | None = None) -> Column:

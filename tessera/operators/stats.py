@@ -9,22 +9,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ordered import least_from_here, prefix_sums
+
 
 def average_rank(df: DataFrame, value: str, name: str = "avg_rank", keys: Sequence[str] = ()) -> DataFrame:
-    """Ranks with ties averaged. Values are counted first, so the global order runs over distinct values only."""
+    """Ranks with ties averaged. Values are counted first, so the global order runs over distinct values, range by range."""
     n = df.groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(*keys).orderBy(value) if keys else Window.orderBy(value)
-    before = F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = n.withColumn(name, before + (F.col("__n") + 1) / 2.0).drop("__n")
+    r = prefix_sums(n, value, ["__n"], keys).select(*keys, value, (F.col("before___n") + (F.col("__n") + 1) / 2.0).alias(name))
     return df.join(r, [*keys, value])
 
 
 def ks_distance(df: DataFrame, group: str, value: str, a: str, b: str) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov D of groups a and b."""
     x = df.filter(F.col(group).isin(a, b)).groupBy(value).agg(F.count_if(F.col(group) == a).alias("na"), F.count_if(F.col(group) == b).alias("nb"))
-    w, all_ = Window.orderBy(value), Window.partitionBy()
-    d = x.select(F.abs(F.sum("na").over(w) / F.sum("na").over(all_) - F.sum("nb").over(w) / F.sum("nb").over(all_)).alias("d"))
-    return d.agg(F.max("d").alias("ks_d"))
+    up = lambda c: (F.col(f"before_{c}") + F.col(c)) / F.col(f"all_{c}")
+    return prefix_sums(x, value, ["na", "nb"]).agg(F.max(F.abs(up("na") - up("nb"))).alias("ks_d"))
 
 
 def auc(df: DataFrame, positive: str, value: str) -> DataFrame:
@@ -39,11 +38,14 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def bh_adjust(df: DataFrame, p: str, keys: Sequence[str] = (), name: str = "q") -> DataFrame:
-    """Benjamini-Hochberg: running minimum of p * n / rank from the largest p down."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    up = df.withColumn("__r", F.rank().over(w.orderBy(p)) + F.count("*").over(w.orderBy(p).rangeBetween(0, 0)) - 1)
-    raw = up.withColumn("__q", F.col(p) * F.count("*").over(w) / F.col("__r"))
-    return raw.withColumn(name, F.least(F.lit(1.0), F.min("__q").over(w.orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, 0)))).drop("__r", "__q")
+    """Benjamini-Hochberg: least p * n / rank from here to the largest p, over distinct p; a null p has a null q and counts for nothing."""
+    n = df.filter(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count("*").alias("__n"))
+    raw = prefix_sums(n, p, ["__n"], keys).withColumn("__q", F.col(p) * F.col("all___n") / (F.col("before___n") + F.col("__n")))
+    q = least_from_here(raw, p, "__q", keys, "__least").select(*[F.col(k).alias(f"__j{i}") for i, k in enumerate(keys)], F.col(p).alias("__p"), F.least(F.lit(1.0), F.col("__least")).alias(name))
+    on = F.col(p) == F.col("__p")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__j{i}"))
+    return df.join(q, on, "left").drop("__p", *[f"__j{i}" for i in range(len(keys))])
 
 
 def decomposition(df: DataFrame, group: str, half: str, x: str, n: str) -> DataFrame:
@@ -76,8 +78,7 @@ def signed_rank(df: DataFrame, difference: str) -> DataFrame:
     """Wilcoxon's paired test: pairs that differ, sum of the ranks of rising ones, and its z with ties and continuity corrected."""
     d = df.filter(F.col(difference) != 0).select(F.abs(F.col(difference)).alias("__a"), (F.col(difference) > 0).alias("__up"))
     t = d.groupBy("__a").agg(F.count("*").alias("m"), F.count_if("__up").alias("up"))
-    before = F.coalesce(F.sum("m").over(Window.orderBy("__a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    s = t.withColumn("r", before + (F.col("m") + 1) / 2.0).agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n"), F.sum(F.col("r") * F.col("up")).alias("w"), F.sum(F.col("m") * (F.col("m") * F.col("m") - 1) / 48.0).alias("ties"))
+    s = prefix_sums(t, "__a", ["m"]).withColumn("r", F.col("before_m") + (F.col("m") + 1) / 2.0).agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n"), F.sum(F.col("r") * F.col("up")).alias("w"), F.sum(F.col("m") * (F.col("m") * F.col("m") - 1) / 48.0).alias("ties"))
     off = F.col("w") - F.col("n") * (F.col("n") + 1) / 4.0
     sd = F.sqrt(F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24.0 - F.col("ties"))
     return s.select("n", "w", F.try_divide(off - F.signum(off) * 0.5, sd).alias("z"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators.ordered import numbered
 from tessera.operators import keyed as k
 from tessera.plans.base import query, r6
 
@@ -154,11 +155,11 @@ def nearest_supplier(t):
 
 @query("""select s_suppkey, r_name, row_number() over (order by s_suppkey, r_name) - 1 as task from supplier cross join region""")
 def run_plan(t):
-    # Wells by genomes: the second side is a fixed short list of regions; the task number is its place, with no window over all rows.
+    # Wells by genomes: the second side is a fixed short list of regions; wells are numbered range by range.
     names = t("region").select(F.array_sort(F.collect_list("r_name")).alias("names"))
-    first = t("supplier").select("s_suppkey")
-    rank = first.join(F.broadcast(names)).select("s_suppkey", F.size("names").alias("g"), F.posexplode("names").alias("pos", "r_name"))
-    return rank.select("s_suppkey", "r_name", ((F.col("s_suppkey") - t("supplier").agg(F.min("s_suppkey")).scalar()) * F.col("g") + F.col("pos")).alias("task"))
+    wells = numbered(t("supplier").select("s_suppkey"), ["s_suppkey"], "well")
+    rank = wells.join(F.broadcast(names)).select("s_suppkey", "well", F.size("names").alias("g"), F.posexplode("names").alias("pos", "r_name"))
+    return rank.select("s_suppkey", "r_name", (F.col("well") * F.col("g") + F.col("pos")).alias("task"))
 
 
 @query("""with c as (select c_mktsegment as seg, o_orderstatus as st, count(*) as n from orders join customer on o_custkey = c_custkey group by 1, 2) select seg, st, n, round(n / (select sum(n) from c c2 where c2.seg = c.seg and st = 'O'), 6) as share from c""")
