@@ -3,20 +3,37 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_OWN: dict[str, str] = {}
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows written once to spark.checkpoint.dir; a temporary folder takes its place only in local mode without the setting."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+
+def _folder(spark: SparkSession) -> str:
+    """Of this application's tables, in the folder named by spark.checkpoint.dir; a temporary one only in local mode without the setting."""
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if app not in _OWN:
+        if not named and (not master.startswith("local") or master.startswith("local-cluster")):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint()
+        _OWN[app] = f"{named.rstrip('/')}/tessera-rounds-{app}" if named else "file://" + tempfile.mkdtemp(prefix="tessera-")
+    return _OWN[app]
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows written once and read back. A table rather than a checkpoint: what the planner infers about a checkpoint's
+    rows is carried from round to round, and planning time then grows with a power of the rounds."""
+    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every table that `settled` has written in this application; nothing may read them afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def connected(edges: DataFrame, a: str, b: str) -> DataFrame:

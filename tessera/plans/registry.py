@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import strings as st
+from tessera.operators import communities as cm
 from tessera.operators import graph as g
 from tessera.operators import intervals as iv
 from tessera.operators import matrix as mx
@@ -346,6 +347,25 @@ def knn_preservation(t):
     return g.preservation(g.knn(e, "vec_id", "embedding", 10), g.knn(e, "vec_id", "embedding", 10, 32), 10).select(r6("preservation").alias("preservation"))
 
 
+@_query(f"""select label, count(*) as n, round(avg(same), 6) as purity from (select k.node, a.label, avg((a.label = b.label)::int) as same from {FULL} k join embeddings a on a.vec_id = k.node join embeddings b on b.vec_id = k.neighbour group by 1, 2) group by 1""")
+def knn_purity(t):
+    e = t("embeddings")
+    return cm.purity(g.knn(e, "vec_id", "embedding", 10), e.select(F.col("vec_id").alias("node"), "label")).select("label", "n", r6("purity").alias("purity"))
+
+
+@_query(f"""with k as (select * from {FULL}), e as (select node as a, neighbour as b from k union all select neighbour, node from k), l as (select a, x.label as la, y.label as lb from e join embeddings x on x.vec_id = a join embeddings y on y.vec_id = b),
+c as (select la, count(*) as tot, sum((la = lb)::int) as inside from l group by 1) select round(sum(inside) / sum(tot) - sum(tot * tot) / (sum(tot) * sum(tot)), 6) as modularity from c""")
+def knn_label_modularity(t):
+    e = t("embeddings")
+    q = cm.modularity(cm.symmetric(g.knn(e, "vec_id", "embedding", 10), "node", "neighbour"), e.select(F.col("vec_id").alias("node"), F.col("label").alias("community")))
+    return e.sparkSession.range(1).select(F.lit(round(q, 6)).alias("modularity"))
+
+
+@_query()
+def neighbour_communities(t):
+    return cm.communities(cm.symmetric(g.knn(t("embeddings"), "vec_id", "embedding", 10), "node", "neighbour"))
+
+
 @_query("""with c as (select c_mktsegment as a, c_nationkey % 5 as b, count(*) as n from customer group by 1, 2), s as (select sum(n * (n - 1) / 2.0) as ij, sum(n) as n from c),
 i as (select sum(m * (m - 1) / 2.0) as i from (select sum(n) as m from c group by a)), j as (select sum(m * (m - 1) / 2.0) as j from (select sum(n) as m from c group by b))
 select round((ij - i * j / (n * (n - 1) / 2.0)) / ((i + j) / 2.0 - i * j / (n * (n - 1) / 2.0)), 8) as ari from s cross join i cross join j""")
