@@ -216,3 +216,11 @@ def ladder(df: DataFrame, keys: Sequence[str], steps: dict[str, Column]) -> Data
         passed = passed & F.coalesce(c, F.lit(False))
         out.append(F.count_if(passed).alias(name))
     return df.groupBy(*keys).agg(*out)
+
+
+def overridden(base: DataFrame, over: DataFrame) -> DataFrame:
+    """Named sparse records on one default record: a null takes the default. base has one row, else this fails when it runs."""
+    one = base.agg(F.count("*").alias("__rows"), *[F.first(c).alias(f"__{c}") for c in base.columns])
+    one = one.withColumn("__rows", F.when(F.col("__rows") == 1, F.col("__rows")).otherwise(F.raise_error(F.lit("the default is not one record"))))
+    both = over.crossJoin(F.broadcast(one)).filter("__rows = 1")
+    return both.select(*[F.coalesce(F.col(c), F.col(f"__{c}")).alias(c) if c in base.columns else F.col(c) for c in over.columns])

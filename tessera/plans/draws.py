@@ -119,13 +119,13 @@ def reference_bias(t):
     return c.select("grp", "allele", r6(F.col("nm") / F.greatest("n", F.lit(1))).alias("mean_edits"), "n")
 
 
-@query("""with base as (select 10 as k, 0.5 as alpha, 'wd' as mode), o as (select * from (values ('a', 20, null, null), ('b', null, 0.1, null), ('c', null, null, 'nd')) v(name, k, alpha, mode)) select name, coalesce(o.k, base.k) as k, coalesce(o.alpha, base.alpha) as alpha, coalesce(o.mode, base.mode) as mode from o, base""")
+@query("""with base as (select max(p_size) as k, round(avg(p_retailprice), 2) as alpha, min(p_type) as mode from part), o as (select p_brand as name, case when min(p_size) > 1 then min(p_size) end as k, case when count(*) % 2 = 0 then round(avg(p_retailprice), 2) end as alpha, case when max(p_type) like 'S%' then max(p_type) end as mode from part group by 1)
+select name, coalesce(o.k, base.k) as k, coalesce(o.alpha, base.alpha) as alpha, coalesce(o.mode, base.mode) as mode from o, base""")
 def config_overrides(t):
-    over = {"a": {"k": 20}, "b": {"alpha": 0.1}, "c": {"mode": "nd"}}
-    base = {"k": 10, "alpha": 0.5, "mode": "wd"}
-    # Configurations are program constants, not data.
-    rows = [(n, *({**base, **o}[c] for c in base)) for n, o in over.items()]
-    return t("region").sparkSession.createDataFrame(rows, "name string, k int, alpha double, mode string")
+    price = F.round(F.avg("p_retailprice"), 2)
+    base = t("part").agg(F.max("p_size").alias("k"), price.alias("alpha"), F.min("p_type").alias("mode"))
+    over = t("part").groupBy(F.col("p_brand").alias("name")).agg(F.when(F.min("p_size") > 1, F.min("p_size")).alias("k"), F.when(F.count("*") % 2 == 0, price).alias("alpha"), F.when(F.max("p_type").like("S%"), F.max("p_type")).alias("mode"))
+    return k.overridden(base, over)
 
 
 @query("""with e as (select user_id, event_type as l, row_number() over (partition by user_id order by ts, event_id) as rn from events), p as (select a.l as l, b.l as nb from e a join e b on a.user_id = b.user_id and b.rn = a.rn + 1), s as (select l, count(*) * 1.0 / (select count(*) from p) as p from p group by 1)

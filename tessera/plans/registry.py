@@ -19,7 +19,7 @@ from tessera.operators import matrix as mx
 from tessera.operators import relational as rel
 from tessera.operators import sampling as smp
 from tessera.operators import stats
-from tessera.plans import blocks, consensus, draws, embedding, keyed, nulls, readouts  # noqa: F401  they register their queries
+from tessera.plans import blocks, bootstrap, consensus, draws, embedding, keyed, nulls, readouts  # noqa: F401  they register their queries
 from tessera.plans.base import QUERIES as _Q
 from tessera.plans.base import SQL as _SQL
 from tessera.plans.base import query as _query
@@ -257,10 +257,13 @@ def revcomp_substr(t):
     return t("part").select("p_partkey", st.reverse_complement(F.col("p_name")).alias("rc"), (F.length("p_name") - F.length(F.replace("p_name", F.lit("n"), F.lit("")))).cast("long").alias("n_n"), F.substring("p_name", 3, 5).alias("mid"))
 
 
-@_query("""select * from (values ('B73','A1'),('B73','A2'),('B73','A3'),('B73','B2'),('Mo17','C11'),('Mo17','C12')) v(sample, well)""")
+@_query("""with s as (select s_name as sample, chr(cast(65 + s_nationkey % 8 as int)) as r, s_suppkey % 9 + 1 as a, s_suppkey % 4 as w from supplier) select sample, r || unnest(generate_series(a, a + w)) as well from s
+union all select sample, 'H' || a as well from s where r <> 'H'""")
 def range_spec_expand(t):
-    one = t("region").limit(1).select(F.explode(F.array(F.struct(F.lit("B73").alias("sample"), F.lit("A1-3, B2").alias("spec")), F.struct(F.lit("Mo17").alias("sample"), F.lit("C11-12").alias("spec")))).alias("x")).select("x.*")
-    return scans.expand_ranges(one, "spec").select("sample", "well")
+    n = F.col("s_suppkey") % 9 + 1
+    row = F.char((65 + F.col("s_nationkey") % 8).cast("int"))
+    spec = F.concat(row, n.cast("string"), F.lit("-"), (n + F.col("s_suppkey") % 4).cast("string"), F.when(row != "H", F.concat(F.lit(", H"), n.cast("string"))).otherwise(F.lit("")))
+    return scans.expand_ranges(t("supplier").select(F.col("s_name").alias("sample"), spec.alias("spec")), "spec").select("sample", "well")
 
 
 @_query("""select case when lower(p_type) like '%brass%' then 'metal_b' when lower(p_type) like '%steel%' then 'metal_s' when lower(p_type) like '%small%' then 'small' else 'other' end as label, count(*) as n from part group by 1""")
