@@ -122,3 +122,17 @@ def test_coassignment_query_takes_all_suppliers(spark, tmp_path):
     same = {(i, j): sum(label(i, s) == label(j, s) for s in range(1, 6)) for i in keys for j in keys if i < j}
     got = {(r.i, r.j): r.f for r in registry.queries()["coassignment_f"](spark, str(tmp_path)).collect()}
     assert got == {k: n / 5 for k, n in same.items() if n}
+
+
+def test_frozen_lists_and_overrides_stop_on_bad_input(spark):
+    from tessera.operators import blocks, keyed
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    assert blocks.whitelisted(rows, spark.createDataFrame([(1,), (1,)], "k int"), "k").count() == 1
+    with pytest.raises(Exception, match="listed key is missing"):
+        blocks.whitelisted(rows, spark.createDataFrame([(1,), (9,)], "k int"), "k").count()
+    base = spark.createDataFrame([(10, "wd")], "n int, mode string")
+    over = spark.createDataFrame([("x", 20, None), ("y", None, "nd")], "name string, n int, mode string")
+    assert sorted(map(tuple, keyed.overridden(base, over).collect())) == [("x", 20, "wd"), ("y", 10, "nd")]
+    with pytest.raises(Exception, match="not one record"):
+        keyed.overridden(base.union(base), over).collect()
