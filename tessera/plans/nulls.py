@@ -18,7 +18,8 @@ v as (select p_partkey as feature, flag.cluster, coalesce(v, 0) as v from part c
 f as (select p_partkey as feature, coalesce(sum(l_quantity), 0) as x, p_size >= 25 as bg from part left join lineitem on l_partkey = p_partkey group by p_partkey, p_size),
 o as (select feature, x, row_number() over (order by x, feature) - 1 as spot from f where bg), k as (select count(*) as n, min(x) as low, max(x) as high, least({WIDTH}, count(*)) // 2 as half from o),
 w as (select *, least(2 * half, n) as wide, greatest(1, least({ANCHORS}, n - least(2 * half, n) + 1)) as cnt from k), s as (select *, case when cnt > 1 then (n - wide) * 1.0 / (cnt - 1) else 0.0 end as step from w),
-own as (select feature, cast(least(cnt - 1, greatest(0, floor(((select count(*) from o where o.x <= f.x) - half) / step + 0.5))) as bigint) as anchor, x between low and high as in_support from f, s),
+below as (select feature, x, sum(bg::int) over (order by x range between unbounded preceding and current row) as rank from f),
+own as (select feature, cast(least(cnt - 1, greatest(0, floor((rank - half) / step + 0.5))) as bigint) as anchor, x between low and high as in_support from below, s),
 grid as (select a.anchor, i.idx, cast(floor(a.anchor * step + 0.5) as bigint) + i.idx as spot from s, (select unnest(generate_series(0, {ANCHORS - 1})) as anchor) a, (select unnest(generate_series(0, {WIDTH - 1})) as idx) i where a.anchor < cnt and i.idx < wide),
 refs as (select anchor, idx, feature as ref from grid join o using (spot)), beside as (select anchor, cluster, v.v from refs join v on v.feature = ref),
 u as (select v.feature, v.cluster, (sum((b.v < v.v)::int) + sum((b.v <= v.v)::int)) / (2.0 * count(*)) as u from v join own using (feature) join beside b on b.anchor = own.anchor and b.cluster = v.cluster group by v.feature, v.cluster),
