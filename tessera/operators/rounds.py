@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 _OWN: dict[str, str] = {}
 
 
-def _folder(spark: SparkSession) -> str:
+def scratch_folder(spark: SparkSession) -> str:
     """Of this application's tables, in the folder named by spark.checkpoint.dir; a temporary one only in local mode without the setting."""
     app, master = spark.sparkContext.applicationId, spark.sparkContext.master
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -25,14 +25,14 @@ def _folder(spark: SparkSession) -> str:
 def settled(df: DataFrame) -> DataFrame:
     """The rows written once and read back. A table rather than a checkpoint: what the planner infers about a checkpoint's
     rows is carried from round to round, and planning time then grows with a power of the rounds."""
-    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{scratch_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clear(spark: SparkSession) -> None:
     """Delete every table that `settled` has written in this application; nothing may read them afterwards."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
