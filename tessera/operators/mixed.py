@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.rounds import settled
+from tessera.operators.rounds import added, settled
 
 NODES = 9
 #: log precision and log deviation of u stay inside these; data without spread drive them outwards for ever.
@@ -67,6 +67,21 @@ def row_terms(k: np.ndarray, n: np.ndarray, eta: np.ndarray, log_precision: floa
     return ka - a0 + kb - b0 + s0 - ns, by_m * w, by_s * s, by_mm * w * w + by_m * w * (1 - 2 * m), by_ms * w * s, by_ss * s * s + by_s * s
 
 
+def dummies(df: DataFrame, factors: dict[str, list[str]], crossed: list[tuple[str, str]] = ()) -> tuple[DataFrame, list[str]]:
+    """Adds 0/1 columns for every level of a factor but its first, and their products for crossed factors; with their names.
+
+    factors: column to its levels in order; a value outside them is null, so that a fit leaves its row out."""
+    own: dict[str, list[str]] = {}
+    for f, levels in factors.items():
+        own[f] = [f"{f}={v}" for v in levels[1:]]
+        df = df.withColumns({n: F.when(F.col(f).isin(levels), (F.col(f) == v).cast("double")) for n, v in zip(own[f], levels[1:], strict=True)})
+    names = [n for f in factors for n in own[f]]
+    for a, b in crossed:
+        both = {f"{x}*{y}": F.col(f"`{x}`") * F.col(f"`{y}`") for x in own[a] for y in own[b]}
+        df, names = df.withColumns(both), [*names, *both]
+    return df, names
+
+
 @dataclass
 class Fit:
     """Coefficients in the order of `terms`, then log precision and log deviation of the blocks; `covariance` of all of them."""
@@ -117,9 +132,7 @@ def _sums(rows: DataFrame, modes: DataFrame, p: int, theta: np.ndarray, nodes: i
             yield pa.RecordBatch.from_pydict({"block": pa.array(block, pa.string()), "sums": pa.array(list(flat), pa.list_(pa.float64()))})
 
     parts = rows.join(modes, "block").mapInArrow(add, "block string, sums array<double>")
-    cells = parts.select("block", F.posexplode("sums").alias("place", "v")).groupBy("block", "place").agg(F.sum("v").alias("v"))
-    held = cells.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "v"))), lambda c: c["v"]).alias("sums"))
-    return held.join(modes, "block")
+    return added(parts, "block", "sums").join(modes, "block")
 
 
 def _blocks(sums: DataFrame, p: int, theta: np.ndarray, nodes: int) -> DataFrame:
@@ -173,7 +186,7 @@ def beta_binomial(df: DataFrame, block: str, hits: str, trials: str, terms: list
         raise ValueError("the number of nodes is odd")
     names = ["(intercept)", *terms]
     p = len(names)
-    x = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in terms])
+    x = F.array(F.lit(1.0), *[F.col(f"`{c}`").cast("double") for c in terms])
     rows = df.select(F.col(block).cast("string").alias("block"), x.alias("x"), F.col(hits).cast("double").alias("k"), F.col(trials).cast("double").alias("n"))
     rows = settled(rows.filter("block is not null and k is not null and n > 0 and not exists(x, v -> v is null)").groupBy("block", "x", "k", "n").agg(F.count("*").alias("times")))
     share = rows.agg(F.sum(F.col("k") * F.col("times")), F.sum(F.col("n") * F.col("times"))).first()

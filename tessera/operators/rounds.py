@@ -66,3 +66,9 @@ def roots(pointers: DataFrame, child: str, parent: str) -> DataFrame:
         if not step.filter("moved").limit(1).count():
             return step.select("child", "root")
         at = step.select("child", "root")
+
+
+def added(parts: DataFrame, key: str, sums: str) -> DataFrame:
+    """(key, sums) with the arrays of a key added place by place; partial sums of batches are combined before they are shuffled."""
+    cells = parts.select(key, F.posexplode(sums).alias("place", "v")).groupBy(key, "place").agg(F.sum("v").alias("v"))
+    return cells.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "v"))), lambda c: c["v"]).alias(sums))

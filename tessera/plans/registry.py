@@ -19,7 +19,7 @@ from tessera.operators import matrix as mx
 from tessera.operators import relational as rel
 from tessera.operators import sampling as smp
 from tessera.operators import stats
-from tessera.plans import alignments, blocks, bootstrap, cleaning, consensus, draws, embedding, keyed, nulls, readouts  # noqa: F401  they register their queries
+from tessera.plans import alignments, blocks, bootstrap, cleaning, consensus, draws, embedding, keyed, models, nulls, readouts  # noqa: F401  they register their queries
 from tessera.plans.base import QUERIES as _Q
 from tessera.plans.base import SQL as _SQL
 from tessera.plans.base import query as _query
