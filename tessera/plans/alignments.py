@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.strings import cigar_spans
+from tessera.operators import alleles
 from tessera.operators.rounds import scratch_folder
 from tessera.plans.base import query
 from tessera.sources import alignments as al
@@ -58,3 +60,32 @@ def cut_sites_of_alignment_file(t):
     path = _written(t, "cuts")
     rows = al.bam(t("lineitem").sparkSession, path, split_bytes=SPLIT)
     return reads.cut_sites(reads.kept_alignments(rows, 30, "CB")).select("chrom", "start", "cell", "strand")
+
+
+SITES_SQL = "select case when p_size % 2 = 0 then 'RF' else 'NO' end as chrom, p_partkey as pos, 'ACGT'[p_size % 4 + 1] as ref, 'ACGT'[(p_size + 1) % 4 + 1] as alt from part"
+SEEN_SQL = f"""with r as ({ROWS_SQL}), k as (select chrom, pos, mapq, edits, n_name as grp from r join supplier on s_suppkey = cell join nation on n_nationkey = s_nationkey where mapq >= 10 and flag & 260 = 0),
+d as (select *, unnest(range(mapq + 22)) as d from k), b as (select chrom, pos + d as pos, grp, mapq, edits, 'ACGT'[(case when d < mapq then d + 3 else d + 1 end) % 4 + 1] as base from d where d < mapq or d >= mapq + 2),
+s as ({SITES_SQL}), o as (select grp, b.chrom, b.pos, ref, alt, base, edits, mapq from b join s on s.chrom = b.chrom and s.pos = b.pos) """
+
+
+def _seen(t) -> DataFrame:
+    """Reads of 3 clipped bases, as many aligned as the quantity, 2 deleted and 20 aligned, at sites that are parts."""
+    n = F.col("l_quantity").cast("int")
+    flag = F.when(F.col("l_linenumber") == 2, 4).when(F.col("l_linenumber") == 3, 16).when(F.col("l_linenumber") == 4, 256).otherwise(0)
+    tags = F.create_map(F.lit("CB"), F.col("l_suppkey").cast("string"), F.lit("NM"), F.col("l_linenumber").cast("string"))
+    reads_ = t("lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("chrom"), F.col("l_partkey").alias("pos"), n.alias("mapq"), flag.alias("flag"), tags.alias("tags"), F.concat(F.lit("3S"), n.cast("string"), F.lit("M2D20M")).alias("cigar"), F.rpad(F.lit("ACGT"), 23 + n, "ACGT").alias("seq"))
+    letter = lambda k: F.substring(F.lit("ACGT"), (F.col("p_size") + k).cast("int") % 4 + 1, F.lit(1))
+    sites = t("part").select(F.when(F.col("p_size") % 2 == 0, "RF").otherwise("NO").alias("chrom"), F.col("p_partkey").alias("pos"), letter(0).alias("ref"), letter(1).alias("alt"))
+    groups = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("cell"), F.col("n_name").alias("grp"))
+    return alleles.observed(reads_.withColumn("spans", cigar_spans(F.col("cigar"))), sites, groups)
+
+
+@query(SEEN_SQL + "select grp, chrom, pos, ref, alt, count(*) filter (where base = ref) as n_ref, count(*) filter (where base = alt) as n_alt, count(*) filter (where base not in (ref, alt)) as n_other from o group by all")
+def allele_counts_at_sites(t):
+    return alleles.allele_counts(_seen(t))
+
+
+@query(SEEN_SQL + "select grp, case when base = ref then 'ref' else 'alt' end as allele, count(*) as n, round(avg(edits), 6) as mean_edits, round(avg(mapq), 6) as mean_mapq from o where base in (ref, alt) group by 1, 2")
+def allele_mapping_bias(t):
+    out = alleles.allele_bias(_seen(t))
+    return out.select("grp", "allele", "n", F.round("mean_edits", 6).alias("mean_edits"), F.round("mean_mapq", 6).alias("mean_mapq"))
