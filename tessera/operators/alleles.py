@@ -1,4 +1,4 @@
-"""Alleles that reads carry at known sites: sites inside each read by bins of position, the base there by a walk over the CIGAR."""
+"""Alleles that reads carry at known sites: sites inside the runs that a CIGAR aligns, by bins of position."""
 
 from __future__ import annotations
 
@@ -7,25 +7,24 @@ from pyspark.sql import functions as F
 
 from tessera.sources.reads import kept_alignments
 
-#: Positions of a bin. A site has one bin, a read those that it reaches into, so that the two meet once.
-BIN = 1024
+#: Positions of a bin. A site has one bin, an aligned run those that it reaches into, so that the two meet once.
+BIN = 128
 
 
-def base_at(seq: Column, cigar: Column, pos: Column, at: Column) -> Column:
-    """The base that a read beginning at pos (its first aligned one) has at a reference position; NULL where none is aligned there."""
+def aligned_runs(cigar: Column, pos: Column) -> Column:
+    """The unbroken runs of a read whose first aligned base is at pos: array of struct(start on the reference, n, first base of the read from 1)."""
     steps = F.transform(F.regexp_extract_all(cigar, F.lit(r"(\d+[MIDNSHP=X])"), 1), lambda s: F.struct(F.regexp_extract(s, r"^\d+", 0).cast("int").alias("n"), F.right(s, F.lit(1)).alias("op")))
-    none = F.lit(None).cast("long")
-    start = F.struct(pos.cast("long").alias("r"), F.lit(1).cast("long").alias("q"), none.alias("hit"))
+    none = F.array().cast("array<struct<start:bigint,n:bigint,first:bigint>>")
+    begin = F.struct(pos.cast("long").alias("r"), F.lit(1).cast("long").alias("q"), none.alias("runs"))
 
     def step(a, s):
         both, n = s["op"].isin("M", "=", "X"), s["n"].cast("long")
-        here = F.when(both & (at >= a["r"]) & (at < a["r"] + n), a["q"] + at - a["r"])
+        run = F.array(F.struct(a["r"].alias("start"), n.alias("n"), a["q"].alias("first")))
         r = a["r"] + F.when(both | s["op"].isin("D", "N"), n).otherwise(0)
         q = a["q"] + F.when(both | s["op"].isin("I", "S"), n).otherwise(0)
-        return F.struct(r.alias("r"), q.alias("q"), F.coalesce(a["hit"], here).alias("hit"))
+        return F.struct(r.alias("r"), q.alias("q"), F.when(both, F.concat(a["runs"], run)).otherwise(a["runs"]).alias("runs"))
 
-    hit = F.aggregate(steps, start, step)["hit"]
-    return F.when(hit.isNotNull() & (hit <= F.length(seq)), F.upper(F.substring(seq, hit.cast("int"), F.lit(1))))
+    return F.aggregate(steps, begin, step)["runs"]
 
 
 def observed(alignments: DataFrame, sites: DataFrame, groups: DataFrame, tag: str = "CB", min_mapq: int = 10) -> DataFrame:
@@ -35,14 +34,15 @@ def observed(alignments: DataFrame, sites: DataFrame, groups: DataFrame, tag: st
     one position the least (ref, alt) counts; groups: (cell, grp), reads of other cells go, a cell in two groups counts in
     both. Neither table is broadcast by hand; a bin that many reads cover is left to the split of skewed joins."""
     kept = kept_alignments(alignments, min_mapq, tag).filter("spans.ref_consumed > 0 and seq <> '*'")
-    own = kept.select(F.try_element_at("tags", F.lit(tag)).alias("cell"), "chrom", F.col("pos").alias("start"), (F.col("pos") + F.col("spans.ref_consumed")).alias("end"), "cigar", "seq", "mapq", F.coalesce(F.try_element_at("tags", F.lit("NM")).cast("int"), F.lit(0)).alias("edits"))
-    reads = own.join(groups.select(F.col("cell").cast("string").alias("cell"), "grp").filter("cell is not null and grp is not null").distinct(), "cell")
-    binned = reads.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / BIN), F.floor((F.col("end") - 1) / BIN))))
+    own = kept.select(F.try_element_at("tags", F.lit(tag)).alias("cell"), "chrom", F.explode(aligned_runs(F.col("cigar"), F.col("pos"))).alias("run"), "seq", "mapq", F.coalesce(F.try_element_at("tags", F.lit("NM")).cast("int"), F.lit(0)).alias("edits"))
+    part = F.substring(F.col("seq"), F.col("run.first").cast("int"), F.col("run.n").cast("int"))
+    runs = own.select("cell", "chrom", F.col("run.start").alias("start"), F.upper(part).alias("part"), "mapq", "edits").filter("part <> ''")
+    reads = runs.join(groups.select(F.col("cell").cast("string").alias("cell"), "grp").filter("cell is not null and grp is not null").distinct(), "cell")
+    bins = F.sequence(F.floor(F.col("start") / BIN), F.floor((F.col("start") + F.length("part") - 1) / BIN))
     one = sites.filter("pos is not null").groupBy("chrom", F.col("pos").cast("long").alias("pos")).agg(F.min(F.struct(F.upper("ref").alias("ref"), F.upper("alt").alias("alt"))).alias("s"))
     at = one.select("chrom", "pos", "s.ref", "s.alt", F.floor(F.col("pos") / BIN).alias("bin"))
-    met = binned.join(at, ["chrom", "bin"]).filter("pos >= start and pos < end")
-    out = met.select("grp", "chrom", "pos", "ref", "alt", base_at(F.col("seq"), F.col("cigar"), F.col("start"), F.col("pos")).alias("base"), "edits", "mapq")
-    return out.filter("base is not null")
+    met = reads.withColumn("bin", F.explode(bins)).join(at, ["chrom", "bin"]).filter("pos >= start and pos < start + length(part)")
+    return met.select("grp", "chrom", "pos", "ref", "alt", F.substring(F.col("part"), (F.col("pos") - F.col("start")).cast("int") + 1, F.lit(1)).alias("base"), "edits", "mapq")
 
 
 def allele_counts(seen: DataFrame) -> DataFrame:
