@@ -64,7 +64,7 @@ def cut_sites_of_alignment_file(t):
 
 SITES_SQL = "select case when p_size % 2 = 0 then 'RF' else 'NO' end as chrom, p_partkey as pos, 'ACGT'[p_size % 4 + 1] as ref, 'ACGT'[(p_size + 1) % 4 + 1] as alt from part"
 SEEN_SQL = f"""with r as ({ROWS_SQL}), k as (select chrom, pos, mapq, edits, n_name as grp from r join supplier on s_suppkey = cell join nation on n_nationkey = s_nationkey where mapq >= 10 and flag & 260 = 0),
-d as (select *, unnest(range(mapq + 22)) as d from k), b as (select chrom, pos + d as pos, grp, mapq, edits, 'ACGT'[(case when d < mapq then d + 3 else d + 1 end) % 4 + 1] as base from d where d < mapq or d >= mapq + 2),
+d as (select k.*, g.d from k join (select unnest(range(80)) as d) g on g.d < mapq + 22), b as (select chrom, pos + d as pos, grp, mapq, edits, 'ACGT'[(case when d < mapq then d + 3 else d + 1 end) % 4 + 1] as base from d where d < mapq or d >= mapq + 2),
 s as ({SITES_SQL}), o as (select grp, b.chrom, b.pos, ref, alt, base, edits, mapq from b join s on s.chrom = b.chrom and s.pos = b.pos) """
 
 
