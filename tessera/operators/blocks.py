@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import together as tg
+
 
 def nonempty(df: DataFrame, row: str, column: str, value: str) -> DataFrame:
     """Entries of the rows and columns whose sums are above 0; NULL counts as 0."""
@@ -41,6 +43,23 @@ def block_means(f: DataFrame, blocks: DataFrame) -> DataFrame:
     blocks: (item, block)."""
     one, two = (blocks.select(F.col("item").alias(x), F.col("block").alias(f"b_{x}")) for x in "ij")
     seen = f.join(one, "i").join(two, "j").groupBy(F.least("b_i", "b_j").alias("bi"), F.greatest("b_i", "b_j").alias("bj")).agg(F.sum("f").alias("s"))
+    return _means(seen, blocks)
+
+
+def _of_runs(assigned: DataFrame, seed: str, item: str, label: str, blocks: DataFrame, inside: bool) -> DataFrame:
+    """(gi, gj, f, n): pairs of items by their blocks and the share of seeds that put them together."""
+    seeds = assigned.select(seed).distinct().agg(F.count("*").alias("seeds"))
+    counts = tg.of_groups(assigned, seed, item, label, blocks.select("item", F.col("block").alias("g")), inside)
+    return counts.crossJoin(F.broadcast(seeds)).select("gi", "gj", (F.col("together") / F.col("seeds")).alias("f"), "n")
+
+
+def block_means_of_runs(assigned: DataFrame, seed: str, item: str, label: str, blocks: DataFrame) -> DataFrame:
+    """What `block_means` gives for the co-assignment of (seed, item, label), without making its pairs."""
+    counts = _of_runs(assigned, seed, item, label, blocks, False)
+    return _means(counts.groupBy(F.col("gi").alias("bi"), F.col("gj").alias("bj")).agg(F.sum(F.col("f") * F.col("n")).alias("s")), blocks)
+
+
+def _means(seen: DataFrame, blocks: DataFrame) -> DataFrame:
     size = blocks.groupBy("block").agg(F.count("*").alias("m"))
     a, b = (size.select(F.col("block").alias(f"b{x}"), F.col("m").alias(f"m{x}")) for x in "ij")
     grid = a.join(F.broadcast(b)).filter("bi <= bj").withColumn("n", F.when(F.col("bi") == F.col("bj"), F.col("mi") * (F.col("mi") - 1) / 2).otherwise(F.col("mi") * F.col("mj")))
@@ -52,6 +71,17 @@ def block_confidence(f: DataFrame, blocks: DataFrame) -> DataFrame:
     one, two = (blocks.select(F.col("item").alias(x), F.col("block").alias(f"b_{x}")) for x in "ij")
     inside = f.join(one, "i").join(two, "j").filter("b_i = b_j").groupBy(F.col("b_i").alias("block"))
     s = inside.agg(F.sum("f").alias("s"), F.sum(F.col("f") * F.col("f")).alias("q"), F.count_if(F.col("f") >= 0.9).alias("high"))
+    return _confidence(s, blocks)
+
+
+def block_confidence_of_runs(assigned: DataFrame, seed: str, item: str, label: str, blocks: DataFrame) -> DataFrame:
+    """What `block_confidence` gives for the co-assignment of (seed, item, label), without making its pairs."""
+    f, n = F.col("f"), F.col("n")
+    counts = _of_runs(assigned, seed, item, label, blocks, True).groupBy(F.col("gi").alias("block"))
+    return _confidence(counts.agg(F.sum(f * n).alias("s"), F.sum(f * f * n).alias("q"), F.sum(F.when(f >= 0.9, n).otherwise(0)).alias("high")), blocks)
+
+
+def _confidence(s: DataFrame, blocks: DataFrame) -> DataFrame:
     out = blocks.groupBy("block").agg(F.count("*").alias("m")).join(s, "block", "left").na.fill(0, ["s", "q", "high"]).withColumn("pairs", F.col("m") * (F.col("m") - 1) / 2)
     mean = F.try_divide(F.col("s"), F.col("pairs"))
     return out.select("block", "m", mean.alias("conf"), F.try_divide(F.try_divide(F.col("q"), F.col("pairs")) - mean * mean, mean * (1 - mean)).alias("stab"), F.try_divide(F.col("high"), F.col("pairs")).alias("frac_high"))

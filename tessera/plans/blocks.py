@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import blocks as b
-from tessera.operators import graph as g
 from tessera.plans.base import query, r6
 
 
@@ -51,22 +50,22 @@ SEEDS = "select s_suppkey as item, seed, (s_suppkey * 2654435761 + seed * 40503)
 PAIRS = f"with s as ({SEEDS}), f as (select a.item as i, b.item as j, count(*) / 5.0 as f from s a join s b on a.seed = b.seed and a.label = b.label and a.item < b.item group by 1, 2), bl as (select s_suppkey as item, s_nationkey as block from supplier)"
 
 
-def _pairs(t):
+def _seeds(t):
     s = t("supplier").select(F.col("s_suppkey").alias("item"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("seed"))
     s = s.withColumn("label", F.expr("(item * 2654435761L + seed * 40503) % 4294967296L % 7"))
-    return g.coassignment(s, "seed", "item", "label"), t("supplier").select(F.col("s_suppkey").alias("item"), F.col("s_nationkey").alias("block"))
+    return s, "seed", "item", "label", t("supplier").select(F.col("s_suppkey").alias("item"), F.col("s_nationkey").alias("block"))
 
 
 @query(f"""{PAIRS}, z as (select least(x.block, y.block) as bi, greatest(x.block, y.block) as bj, sum(coalesce(f, 0)) as s, count(*) as n from bl x join bl y on x.item < y.item left join f on f.i = x.item and f.j = y.item group by 1, 2),
 blk as (select distinct block from bl), gr as (select p.block as bi, q.block as bj from blk p join blk q on p.block <= q.block) select gr.bi, gr.bj, round(s / n, 6) as mean, coalesce(n, 0) as n from gr left join z on z.bi = gr.bi and z.bj = gr.bj""")
 def block_pair_means(t):
-    return b.block_means(*_pairs(t)).withColumn("mean", r6("mean"))
+    return b.block_means_of_runs(*_seeds(t)).withColumn("mean", r6("mean"))
 
 
 @query(f"""{PAIRS}, z as (select x.block, avg(coalesce(f, 0)) as m, avg(coalesce(f, 0) * coalesce(f, 0)) as q, avg(case when f >= 0.9 then 1.0 else 0 end) as h from bl x join bl y on x.item < y.item and x.block = y.block left join f on f.i = x.item and f.j = y.item group by 1), n as (select block, count(*) as m from bl group by 1)
 select n.block, n.m, round(z.m, 6) as conf, round((q - z.m * z.m) / nullif(z.m * (1 - z.m), 0), 6) as stab, round(h, 6) as frac_high from n left join z using (block)""")
 def block_confidence(t):
-    return b.block_confidence(*_pairs(t)).select("block", "m", *[r6(c).alias(c) for c in ("conf", "stab", "frac_high")])
+    return b.block_confidence_of_runs(*_seeds(t)).select("block", "m", *[r6(c).alias(c) for c in ("conf", "stab", "frac_high")])
 
 
 @query("select r_name, case r_name when 'ASIA' then 'a' when 'AFRICA' then 'b' when 'AMERICA' then 'b' when 'EUROPE' then 'c' else 'd' end as genome, count(*) as nations from nation join region on r_regionkey = n_regionkey group by 1, 2")
