@@ -21,10 +21,22 @@ def capped(df: DataFrame, keys: Sequence[str], id_col: str, most: int, seed: int
 
 
 def repeated_draws(df: DataFrame, keys: Sequence[str], id_col: str, size: int, draws: int) -> DataFrame:
-    """`draws` samples of `size` rows of each group, with the number of the draw."""
-    many = df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    w = Window.partitionBy(*keys, "draw").orderBy(uniform_hash(F.col(id_col) * 1009 + F.col("draw")), id_col)
-    return many.withColumn("__p", F.row_number().over(w)).filter(F.col("__p") <= size).drop("__p")
+    """`draws` samples of `size` rows of each group, with the number of the draw.
+
+    A first pass counts the rows of each stretch of the hash, and only those of the stretches that hold the least `size`
+    are ranked, so that a draw's rows are not sorted whole."""
+    h = uniform_hash(F.col(id_col) * 1009 + F.col("draw"))
+    many = df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("__s", F.coalesce(F.floor(h / 2**22).cast("int"), F.lit(-1)))
+    counts = many.groupBy(*keys, "draw", "__s").agg(F.count("*").alias("__c"))
+    before = F.sum("__c").over(Window.partitionBy(*keys, "draw").orderBy("__s")) - F.col("__c")
+    last = counts.withColumn("__before", before).filter(F.col("__before") < size).groupBy(*keys, "draw").agg(F.max("__s").alias("__last"))
+    same = F.lit(True)
+    for c in (*keys, "draw"):
+        last = last.withColumnRenamed(c, f"__k_{c}")
+        same = same & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+    few = many.join(last, same & (F.col("__s") <= F.col("__last"))).select(*df.columns, "draw")
+    w = Window.partitionBy(*keys, "draw").orderBy(h, id_col)
+    return few.withColumn("__p", F.row_number().over(w)).filter(F.col("__p") <= size).drop("__p")
 
 
 def permuted_column(df: DataFrame, keys: Sequence[str], id_col: str, value: str, seed: int = 1) -> DataFrame:
