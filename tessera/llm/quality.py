@@ -43,7 +43,7 @@ MAX_LANGUAGES = 10_000
 REACH, POINT_BITS = 6, 21
 POINT = (1 << POINT_BITS) - 1
 MODEL_BOUND = 1 << 23
-COUNT_CHARS = 1 << 22
+COUNT_CHARS = 1 << 21
 
 
 @cache
