@@ -17,6 +17,8 @@ from tessera.sources import reads
 REFERENCES = [(m, 1 << 28) for m in ("AF", "AO", "NF", "NO", "RF", "RO")]
 ROWS_SQL = "select l_orderkey || '-' || l_linenumber as name, l_returnflag || l_linestatus as chrom, l_partkey as pos, cast(l_quantity as int) as mapq, (l_linenumber = 2)::int * 4 + (l_linenumber = 3)::int * 16 + (l_linenumber = 4)::int * 256 as flag, l_suppkey as cell, l_linenumber as edits, 20 + cast(l_quantity as int) as bases from lineitem"
 SPLIT = 1 << 18
+#: What a summary is made of; other columns are not decoded.
+READ = ("name", "chrom", "pos", "spans", "tags")
 
 
 def _written(t, name: str) -> str:
@@ -27,7 +29,7 @@ def _written(t, name: str) -> str:
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("name"), flag.alias("flag"), F.concat("l_returnflag", "l_linestatus").alias("chrom"), F.col("l_partkey").alias("pos"), n.alias("mapq"), F.concat((20 + n).cast("string"), F.lit("M")).alias("cigar"), F.rpad(F.lit("ACGT"), 20 + n, "ACGT").alias("seq"), tags.alias("tags")
     )
     path = f"{scratch_folder(line.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    al.write_bam(al.encoded(rows, REFERENCES, {"NM": "i"}), path, REFERENCES)
+    al.write_bam(al.encoded(rows, REFERENCES, {"NM": "i"}, alone=True), path, REFERENCES)
     return path
 
 
@@ -43,7 +45,7 @@ def alignment_file_scan(t):
     """Filters on fixed fields before decoding, over splits smaller than the file."""
     path = _written(t, "scan")
     spark = t("lineitem").sparkSession
-    return _summary(al.bam(spark, path, min_mapq=10, off_flags=4 | 256, split_bytes=SPLIT))
+    return _summary(al.bam(spark, path, READ, min_mapq=10, off_flags=4 | 256, split_bytes=SPLIT))
 
 
 @query(f"with r as ({ROWS_SQL} where l_suppkey in (select s_suppkey from supplier where s_acctbal < 0)) " + SUMMARY_SQL.format("true"))
@@ -51,14 +53,14 @@ def alignments_of_kept_cells(t):
     """A file of the alignments whose cell is in a list, read back."""
     spark, path = t("lineitem").sparkSession, _written(t, "cells")
     al.keep_tagged(spark, path, path + "-kept", t("supplier").filter("s_acctbal < 0"), "s_suppkey", split_bytes=SPLIT)
-    return _summary(al.bam(spark, path + "-kept", split_bytes=SPLIT))
+    return _summary(al.bam(spark, path + "-kept", READ, split_bytes=SPLIT))
 
 
 @query(f"with r as ({ROWS_SQL}) select chrom, case when flag & 16 > 0 then pos - 1 + bases - 5 else pos - 1 + 4 end as start, cast(cell as varchar) as cell, case when flag & 16 > 0 then '-' else '+' end as strand from r where flag & 260 = 0 and mapq >= 30 group by all")
 def cut_sites_of_alignment_file(t):
     """Distinct insertion sites of mapped primary alignments of a binary file."""
     path = _written(t, "cuts")
-    rows = al.bam(t("lineitem").sparkSession, path, split_bytes=SPLIT)
+    rows = al.bam(t("lineitem").sparkSession, path, ("flag", "chrom", "pos", "mapq", "spans", "tags"), split_bytes=SPLIT)
     return reads.cut_sites(reads.kept_alignments(rows, 30, "CB")).select("chrom", "start", "cell", "strand")
 
 

@@ -15,7 +15,9 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from tessera.functions.strings import cigar_spans
+from tessera.operators.rounds import settled
+
 
 # Fixed values of the public format.
 MEMBER = b"\x1f\x8b\x08\x04"
@@ -37,13 +40,16 @@ MOST = 65536
 FIXED = struct.Struct("<iiiBBHHHiiii")  # size, reference, position, name length, mapping quality, bin, operations, flag, bases, next reference, next position, template length
 
 TO_LETTERS = str.maketrans("0123456789abcdef", LETTERS)
-FROM_LETTERS = {c: i for i, c in enumerate(LETTERS)}
+# Each base as the hexadecimal digit of its code, other characters as N.
+FROM_LETTERS = bytes(b"0123456789abcdef"[LETTERS.find(chr(i))] for i in range(256))
+NAMES = bytes(range(33, 127))
+LOW = bytes(i & 15 for i in range(256))
 TO_QUALITY = bytes(min(i + 33, 126) for i in range(256))
 FROM_QUALITY = bytes(max(i - 33, 0) for i in range(256))
 
 #: Columns that a scan can give; those of `scans.sam` come by default.
-COLUMNS = {"name": "string", "flag": "int", "chrom": "string", "pos": "bigint", "mapq": "int", "cigar": "string", "seq": "string", "tags": "map<string,string>", "next_chrom": "string", "next_pos": "bigint", "length": "int", "qual": "string", "ref": "int", "record": "binary"}
-ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "map<string,string>": pa.map_(pa.string(), pa.string())}
+COLUMNS = {"name": "string", "flag": "int", "chrom": "string", "pos": "bigint", "mapq": "int", "cigar": "string", "seq": "string", "tags": "map<string,string>", "next_chrom": "string", "next_pos": "bigint", "length": "int", "qual": "string", "ref": "int", "record": "binary", "spans": "struct<ref_consumed:int,query_aligned:int>"}
+ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "map<string,string>": pa.map_(pa.string(), pa.string()), "struct<ref_consumed:int,query_aligned:int>": pa.struct([("ref_consumed", pa.int32()), ("query_aligned", pa.int32())])}
 USUAL = ("name", "flag", "chrom", "pos", "mapq", "cigar", "seq", "tags")
 #: Records that have to follow one another from a place taken for a record's start.
 CHAIN = 12
@@ -171,9 +177,9 @@ def _record_at(s: _Inflated, i: int, references: int) -> int:
     if size < 32 + name + 4 * ops + (bases + 1) // 2 + bases or not s.has(i + 36 + name):
         return 0
     text = s.held[i + 36 : i + 35 + name]
-    if s.held[i + 35 + name] or any(c < 33 or c > 126 for c in text) or not s.has(i + 36 + name + 4 * ops):
+    if s.held[i + 35 + name] or text.translate(None, NAMES) or not s.has(i + 36 + name + 4 * ops):
         return 0
-    if any(s.held[j] & 15 > 8 for j in range(i + 36 + name, i + 36 + name + 4 * ops, 4)):
+    if ops and max(s.held[i + 36 + name : i + 36 + name + 4 * ops : 4].translate(LOW)) > 8:
         return 0
     return 4 + size
 
@@ -206,10 +212,19 @@ def _from(source: _Bytes, header: Header, at: int) -> _Inflated | None:
     return None
 
 
+@lru_cache(1 << 12)
 def _cigar(raw: bytes) -> str:
     return "".join(f"{v >> 4}{OPERATIONS[v & 15]}" for v in struct.unpack(f"<{len(raw) // 4}I", raw)) or "*"
 
 
+@lru_cache(1 << 12)
+def _spans(cigar: str) -> tuple[int, int]:
+    """Bases of the reference and of the read that a CIGAR aligns, as `cigar_spans` counts them."""
+    ops = _operations(cigar)
+    total = lambda kinds: sum(v >> 4 for v in ops if OPERATIONS[v & 15] in kinds)
+    return total("MDN=X"), total("MI=X")
+
+
 def _tags(raw: bytes) -> dict[str, str]:
     """Tags as their text in SAM, without name and type."""
     out, p = {}, 0
@@ -259,13 +274,15 @@ def _decoder(columns: Sequence[str], names: list[str]):
             row["seq"] = b[q:u].hex().translate(TO_LETTERS)[:bases] or "*"
         if "qual" in wanted:
             row["qual"] = b[u:v].translate(TO_QUALITY).decode() if bases and b[u] != 255 else "*"
-        if "tags" in wanted or "cigar" in wanted:
+        if "tags" in wanted or "cigar" in wanted or "spans" in wanted:
             # More than 65535 operations stand in a tag, behind two that only name the lengths.
             away = ops == 2 and int.from_bytes(b[c : c + 4], "little") == (bases << 4 | 4)
             tags = _tags(b[v:]) if away or "tags" in wanted else {}
             long = tags.pop("CG", None) if away else None
             row["tags"] = list(tags.items())
             row["cigar"] = _cigar(b[c:q]) if long is None else _cigar(struct.pack(f"<{long.count(',')}I", *map(int, long.split(",")[1:])))
+            if "spans" in wanted:
+                row["spans"] = _spans(row["cigar"])
         return tuple(row[k] for k in columns)
 
     return decode
@@ -303,7 +320,7 @@ class Reader(DataSourceReader):
 
     def read(self, split: Split) -> Iterator[pa.RecordBatch]:
         files, inner = _open(split.path)
-        source = _Bytes(files, inner, split.size)
+        source = _Bytes(files, inner, split.size, min(1 << 21, split.end - split.start + 2 * MOST))
         header = _header(source)
         names = [n for n, _ in header.references]
         refs = None if self.chroms is None else {i for i, n in enumerate(names) if n in self.chroms} | ({-1} if "*" in self.chroms else set())
@@ -371,11 +388,17 @@ class Writer(DataSourceArrowWriter):
         with files.open_output_stream(f"{inner}/_temporary/{name}", compression=None) as out:
             held = bytearray(self.header)
             for batch in batches:
-                for record in batch.column(self.column):
-                    held += record.as_py()
-                    while len(held) >= MOST - 1024:
-                        out.write(_packed(bytes(held[: MOST - 1024])))
-                        del held[: MOST - 1024]
+                records = batch.column(self.column)
+                if records.null_count:
+                    raise ValueError("a record is null")
+                records = records.cast(pa.large_binary())
+                ends = np.frombuffer(records.buffers()[1], np.int64, len(records) + 1, 8 * records.offset) if len(records) else (0, 0)
+                held += memoryview(records.buffers()[2] or b"")[ends[0] : ends[-1]]
+                at = 0
+                while len(held) - at >= MOST - 1024:
+                    out.write(_packed(bytes(held[at : at + MOST - 1024])))
+                    at += MOST - 1024
+                del held[:at]
             for i in range(0, len(held), MOST - 1024):
                 out.write(_packed(bytes(held[i : i + MOST - 1024])))
             out.write(LAST_MEMBER)
@@ -419,13 +442,12 @@ def bam(spark: SparkSession, path: str, columns: Sequence[str] | None = None, ch
     """Alignments of a file or of a folder's .bam files, in the form of `scans.sam`; or the named columns of COLUMNS alone.
 
     Only the columns asked for are decoded. `chroms`, `min_mapq` and `off_flags` (none of these bits may be set) are
-    tested on a record's fixed fields, before it is decoded. Spans are added where the default columns are read."""
+    tested on a record's fixed fields, before it is decoded. Spans come with the default columns, or by name."""
     spark.dataSource.register(Alignments)
     reader = spark.read.format("alignments").option("split_bytes", split_bytes).option("min_mapq", min_mapq).option("off_flags", off_flags)
     if chroms:
         reader = reader.option("chroms", ",".join(chroms))
-    out = reader.option("columns", ",".join(columns or USUAL)).load(path)
-    return out if columns else out.withColumn("spans", cigar_spans(F.col("cigar")))
+    return reader.option("columns", ",".join(columns or (*USUAL, "spans"))).load(path)
 
 
 def header(path: str) -> Header:
@@ -451,6 +473,7 @@ def write_bam(df: DataFrame, path: str, references: Sequence[tuple[str, int]], t
     df.select("record").write.format("alignments").option("header", header_bytes(text, references).hex()).mode("append").save(path)
 
 
+@lru_cache(1 << 12)
 def _operations(cigar: str) -> list[int]:
     out, n = [], 0
     for c in "" if cigar == "*" else cigar:
@@ -485,29 +508,41 @@ def _encoded(row: dict, places: dict[str, int], kinds: dict[str, str]) -> bytes:
     if len(ops) > 65535:
         tags += b"CGBI" + struct.pack(f"<I{len(ops)}I", len(ops), *ops)
         ops = [len(seq) << 4 | 4, (end - start) << 4 | 3]
-    codes = [FROM_LETTERS.get(c, 15) for c in seq.upper()] + [0] * (len(seq) % 2)
+    codes = bytes.fromhex((seq.upper().encode("latin-1", "replace").translate(FROM_LETTERS) + b"0" * (len(seq) % 2)).decode())
     qual = row.get("qual") or "*"
     quality = b"\xff" * len(seq) if qual == "*" else qual.encode().translate(FROM_QUALITY)
     if len(quality) != len(seq) or len(name) > 255:
         raise ValueError(f"{row['name']}: qualities and bases differ in number, or the name is too long")
     other = row.get("next_chrom") or "*"
-    body = name + struct.pack(f"<{len(ops)}I", *ops) + bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True)) + quality + tags
+    body = name + struct.pack(f"<{len(ops)}I", *ops) + codes + quality + tags
     return FIXED.pack(32 + len(body), ref, start, len(name), row["mapq"], bin_ & 0xFFFF, len(ops), row["flag"], len(seq), ref if other == "=" else places[other], (row.get("next_pos") or 0) - 1, row.get("length") or 0) + body
 
 
-def encoded(df: DataFrame, references: Sequence[tuple[str, int]], kinds: dict[str, str] | None = None) -> DataFrame:
+def _listed(column: pa.Array) -> list:
+    if not pa.types.is_map(column.type):
+        return column.to_pylist()
+    pairs = list(zip(column.keys.to_pylist(), column.items.to_pylist(), strict=True))
+    ends = column.offsets.to_pylist()
+    return [pairs[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def encoded(df: DataFrame, references: Sequence[tuple[str, int]], kinds: dict[str, str] | None = None, alone: bool = False) -> DataFrame:
     """Adds `record` to rows in the form of `scans.sam` (with qual, next_chrom, next_pos and length where they are there).
 
-    kinds: SAM types of tags, Z where not named. A chromosome outside the references raises."""
+    kinds: SAM types of tags, Z where not named. A chromosome outside the references raises. `alone`: the other columns go,
+    which spares their way back from Python."""
     places = {n: i for i, (n, _) in enumerate(references)} | {"*": -1}
-    used = [c for c in COLUMNS if c in df.columns and c not in ("ref", "record")]
+    used = [c for c in COLUMNS if c in df.columns and c not in ("ref", "record", "spans")]
 
     def encode(batches):
         for batch in batches:
-            rows = batch.select(used).to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_encoded(r, places, kinds or {}) for r in rows], pa.binary())], names=[*batch.schema.names, "record"])
+            # Column by column, maps by their flat keys and values: rows as dictionaries of lists cost more than the encoding.
+            columns = [_listed(batch.column(c)) for c in used]
+            rows = (dict(zip(used, r, strict=True)) for r in zip(*columns, strict=True))
+            kept = ([], []) if alone else (batch.columns, batch.schema.names)
+            yield pa.RecordBatch.from_arrays([*kept[0], pa.array([_encoded(r, places, kinds or {}) for r in rows], pa.binary())], names=[*kept[1], "record"])
 
-    return df.mapInArrow(encode, StructType([*df.schema.fields]).add("record", "binary"))
+    return df.mapInArrow(encode, StructType([] if alone else [*df.schema.fields]).add("record", "binary"))
 
 
 def keep_tagged(spark: SparkSession, source: str, target: str, values: DataFrame, column: str, tag: str = "CB", split_bytes: int = 1 << 26) -> None:
@@ -519,5 +554,6 @@ def keep_tagged(spark: SparkSession, source: str, target: str, values: DataFrame
     rows = bam(spark, source, ("ref", "pos", "name", "flag", "tags", "record"), split_bytes=split_bytes).withColumn("__tag", F.try_element_at("tags", F.lit(tag)))
     kept = rows.join(values.select(F.col(column).cast("string").alias("__tag")).distinct(), "__tag", "left_semi")
     order = [(F.col("ref") < 0).alias("__last"), "ref", "pos", "name", "flag"]
-    sorted_rows = kept.select(order[0], *order[1:], "record").repartitionByRange("__last", "ref", "pos", "name", "flag").sortWithinPartitions("__last", "ref", "pos", "name", "flag")
+    # Written once: the ranges are found by a pass of their own, which would else decode the whole file a second time.
+    sorted_rows = settled(kept.select(order[0], *order[1:], "record")).repartitionByRange("__last", "ref", "pos", "name", "flag").sortWithinPartitions("__last", "ref", "pos", "name", "flag")
     write_bam(sorted_rows, target, h.references, h.text)

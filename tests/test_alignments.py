@@ -89,3 +89,12 @@ def test_empty_tables_damage_and_other_references(spark, made, tmp_path):
     assert al.bam(spark, f"file://{tmp_path}/none").count() == 0
     with pytest.raises(Exception, match="KeyError"):
         al.encoded(text.drop("spans"), REFS[:1]).count()
+
+
+def test_spans_by_name_and_records_alone(spark, made):
+    d, text, _ = made
+    got = al.bam(spark, f"file://{d}/bam", ("name", "spans"), split_bytes=100_000)
+    assert plain(got) == plain(text.select("name", "spans"))
+    df = text.drop("spans")
+    assert al.encoded(df, REFS, KINDS, alone=True).columns == ["record"]
+    assert plain(al.encoded(df, REFS, KINDS, alone=True)) == plain(al.encoded(df, REFS, KINDS).select("record"))
