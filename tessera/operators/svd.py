@@ -119,11 +119,14 @@ def scaled_rows(matrix: DataFrame, row: str, value: str) -> DataFrame:
 
 
 def top_variance(matrix: DataFrame, row: str, feature: str, value: str, n: int) -> DataFrame:
-    """The cells of the n features of highest variance over all rows, zeros included; ties by feature."""
+    """The cells of the n features of highest variance over all rows, zeros included; ties by feature.
+
+    The matrix is written once, as it is read for its rows, its features and its cells; so are the cells that stay."""
+    matrix = settled(matrix)
     rows = matrix.select(row).distinct().count()
     s = matrix.groupBy(feature).agg(F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("ss"))
     best = s.orderBy(F.desc((F.col("ss") - F.col("s") * F.col("s") / rows) / max(rows - 1, 1)), feature).limit(n).select(feature)
-    return matrix.join(best, feature, "left_semi")
+    return settled(matrix.join(settled(best), feature, "left_semi"))
 
 
 def drop_correlated(scores: DataFrame, covariate: DataFrame, key: str, name: str, cor_max: float) -> tuple[DataFrame, list[float]]:
