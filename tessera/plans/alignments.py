@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.strings import cigar_spans
 from tessera.operators import alleles
 from tessera.operators.rounds import scratch_folder
 from tessera.plans.base import query
@@ -70,7 +69,7 @@ d as (select k.*, g.d from k join (select unnest(range(80)) as d) g on g.d < map
 s as ({SITES_SQL}), o as (select grp, b.chrom, b.pos, ref, alt, base, edits, mapq from b join s on s.chrom = b.chrom and s.pos = b.pos) """
 
 
-def _seen(t) -> DataFrame:
+def _seen(t, apart: bool) -> DataFrame:
     """Reads of 3 clipped bases, as many aligned as the quantity, 2 deleted and 20 aligned, at sites that are parts."""
     n = F.col("l_quantity").cast("int")
     flag = F.when(F.col("l_linenumber") == 2, 4).when(F.col("l_linenumber") == 3, 16).when(F.col("l_linenumber") == 4, 256).otherwise(0)
@@ -79,15 +78,15 @@ def _seen(t) -> DataFrame:
     letter = lambda k: F.substring(F.lit("ACGT"), (F.col("p_size") + k).cast("int") % 4 + 1, F.lit(1))
     sites = t("part").select(F.when(F.col("p_size") % 2 == 0, "RF").otherwise("NO").alias("chrom"), F.col("p_partkey").alias("pos"), letter(0).alias("ref"), letter(1).alias("alt"))
     groups = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("cell"), F.col("n_name").alias("grp"))
-    return alleles.observed(reads_.withColumn("spans", cigar_spans(F.col("cigar"))), sites, groups)
+    return alleles.observed(reads_, sites, groups, apart=apart)
 
 
 @query(SEEN_SQL + "select grp, chrom, pos, ref, alt, count(*) filter (where base = ref) as n_ref, count(*) filter (where base = alt) as n_alt, count(*) filter (where base not in (ref, alt)) as n_other from o group by all")
 def allele_counts_at_sites(t):
-    return alleles.allele_counts(_seen(t))
+    return alleles.allele_counts(_seen(t, True))
 
 
 @query(SEEN_SQL + "select grp, case when base = ref then 'ref' else 'alt' end as allele, count(*) as n, round(avg(edits), 6) as mean_edits, round(avg(mapq), 6) as mean_mapq from o where base in (ref, alt) group by 1, 2")
 def allele_mapping_bias(t):
-    out = alleles.allele_bias(_seen(t))
+    out = alleles.allele_bias(_seen(t, True))
     return out.select("grp", "allele", "n", F.round("mean_edits", 6).alias("mean_edits"), F.round("mean_mapq", 6).alias("mean_mapq"))

@@ -64,3 +64,33 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([], READS).withColumn("spans", cigar_spans(F.col("cigar")))
     seen = al.observed(df, spark.createDataFrame([], SITES), spark.createDataFrame([], GROUPS))
     assert al.allele_counts(seen).count() == 0 and al.allele_bias(seen).count() == 0
+
+
+def test_sums_not_observations_leave_a_bin(spark):
+    """3,000 reads over 40 sites: one row for each group, site and batch at most, not one for each read and site."""
+    reads = [(f"r{k}", 0, "x", 5000, 30, "50M", "ACGTG" * 10, {"CB": f"c{k % 2}", "NM": "2"}) for k in range(3000)]
+    sites = [("x", 5000 + k, "A", "C") for k in range(40)]
+    df, at = spark.createDataFrame(reads, READS).repartition(4), spark.createDataFrame(sites, SITES)
+    groups = spark.createDataFrame([("c0", "a"), ("c1", "b")], GROUPS)
+    seen = al.observed(df.withColumn("spans", cigar_spans(F.col("cigar"))), at, groups)
+    assert 80 <= seen.count() <= 4 * 80
+    got = {(x.grp, x.pos): (x.n_ref, x.n_alt, x.n_other) for x in al.allele_counts(seen).collect()}
+    kinds = [(1500, 0, 0), (0, 1500, 0), (0, 0, 1500), (0, 0, 1500), (0, 0, 1500)]
+    assert got == {(g, 5000 + k): kinds[k % 5] for g in "ab" for k in range(40)}
+
+
+def test_odd_alleles_borders_and_slices(spark, monkeypatch):
+    """Null and long alleles are kept as they are, letters that are not ASCII take one place, skips reach far, batches are cut."""
+    b = al.BIN
+    reads = [("r0", 0, "x", b - 3, 30, f"4M{3 * b}N6M", "acgtACGTAC", {"CB": "c"}), ("r1", 0, "x", b - 3, 30, "10M", "A\u00e9GTAC", {"CB": "c", "NM": "1"}), ("r2", 0, "x", -2, 30, "9M", "ACGTACGTA", {"CB": "c"}), ("r3", 0, "x", b - 3, 30, None, "ACGT", {"CB": "c"}), ("r4", 0, None, b - 3, 30, "4M", "ACGT", {"CB": "c"})]
+    sites = [("x", b - 3, "A", None), ("x", b - 2, "g", "c"), ("x", b - 1, None, "g"), ("x", b, "TA", "t"), ("x", b + 1, None, None), ("x", b + 3, "A", "C"), ("x", 4 * b + 1, "A", "C"), ("x", 4 * b + 6, "G", "C"), ("x", -1, "C", "T")]
+    rows = {(b - 3, "A", None): (2, 0, 0), (b - 2, "G", "C"): (0, 1, 1), (b - 1, None, "G"): (0, 2, 0), (b, "TA", "T"): (0, 2, 0), (b + 1, None, None): (0, 0, 0), (4 * b + 1, "A", "C"): (1, 0, 0), (4 * b + 6, "G", "C"): (0, 1, 0), (-1, "C", "T"): (1, 0, 0)}
+    df, at, groups = spark.createDataFrame(reads, READS).coalesce(1), spark.createDataFrame(sites, SITES), spark.createDataFrame([("c", "a")], GROUPS)
+    seen = al.observed(df, at, groups)
+    assert {(x.pos, x.ref, x.alt): (x.n_ref, x.n_alt, x.n_other) for x in al.allele_counts(seen).collect()} == rows
+    for s in (seen, al.observed(df, at, groups, apart=False)):
+        assert {x.allele: (x.n, x.mean_edits, x.mean_mapq) for x in al.allele_bias(s).collect()} == {"ref": (4, 0.25, 30.0), "alt": (6, 2 / 6, 30.0)}
+    batch = df.select(F.lit("a").alias("grp"), "chrom", F.col("pos"), "cigar", "seq", F.lit(0).cast("long").alias("edits"), F.lit(0).cast("long").alias("mapq")).filter("cigar is not null").toArrow().combine_chunks().to_batches()[0]
+    whole = [x for p in al._pieces([batch]) for x in p.to_pylist()]
+    monkeypatch.setattr(al, "ROOM", 8)
+    assert [x for p in al._pieces([batch]) for x in p.to_pylist()] == whole and len(whole) == 9
