@@ -88,5 +88,5 @@ def allele_counts_at_sites(t):
 
 @query(SEEN_SQL + "select grp, case when base = ref then 'ref' else 'alt' end as allele, count(*) as n, round(avg(edits), 6) as mean_edits, round(avg(mapq), 6) as mean_mapq from o where base in (ref, alt) group by 1, 2")
 def allele_mapping_bias(t):
-    out = alleles.allele_bias(_seen(t, True))
+    out = alleles.allele_bias(_seen(t, False))
     return out.select("grp", "allele", "n", F.round("mean_edits", 6).alias("mean_edits"), F.round("mean_mapq", 6).alias("mean_mapq"))
