@@ -24,7 +24,6 @@ NULL, LONG = 1, 2
 TALLY = ("n_ref", "n_alt", "n_other", "edits_ref", "edits_alt", "mapq_ref", "mapq_alt")
 
 
-@lru_cache(1 << 14)
 def aligned_runs(cigar: str) -> np.ndarray:
     """A row for each unbroken run of a CIGAR: places of the reference before it, its bases, bases of the read before it."""
     r, q, out = 0, 0, []
@@ -37,12 +36,18 @@ def aligned_runs(cigar: str) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 3)
 
 
+#: CIGARs of so many letters are kept from batch to batch; longer ones are seldom alike and would fill a worker.
+SHORT, _kept_runs = 64, lru_cache(1 << 14)(aligned_runs)
+
+
 def _starts(n: np.ndarray) -> np.ndarray:
     return np.cumsum(n) - n
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a column, joined, and how many each row has."""
+    if not len(column):
+        return np.empty(0, np.uint8), np.empty(0, np.int64)
     column = column.cast(pa.binary())
     ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
     return np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]], np.diff(ends).astype(np.int64)
@@ -63,7 +68,7 @@ def _pieces(batches):
         for a, b in zip(cuts, cuts[1:], strict=False):
             batch = whole.slice(a, b - a)
             (raw, size), cigar = _bases(batch.column("seq")), batch.column("cigar").dictionary_encode()
-            kinds = [aligned_runs(c) for c in cigar.dictionary.to_pylist()]
+            kinds = [(_kept_runs if len(c) <= SHORT else aligned_runs)(c) for c in cigar.dictionary.to_pylist()]
             per, code = np.array([len(k) for k in kinds], np.int64), cigar.indices.to_numpy()
             # Runs of reads, without what lies behind the end of the read's bases.
             k = per[code]

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.functions.strings import cigar_spans
@@ -94,3 +95,12 @@ def test_odd_alleles_borders_and_slices(spark, monkeypatch):
     whole = [x for p in al._pieces([batch]) for x in p.to_pylist()]
     monkeypatch.setattr(al, "ROOM", 8)
     assert [x for p in al._pieces([batch]) for x in p.to_pylist()] == whole and len(whole) == 9
+
+
+def test_long_cigars_are_not_kept_and_empty_batches_pass():
+    pieces = lambda cigar, seq: [x for p in al._pieces([pa.RecordBatch.from_pylist([{"grp": "a", "chrom": "x", "pos": 10, "cigar": cigar, "seq": seq, "edits": 0, "mapq": 9}])]) for x in p.to_pylist()]
+    size = al._kept_runs.cache_info().currsize
+    [one] = pieces("1M1I" * 40, "AC" * 40)
+    assert one["bases"] == b"A" * 40 and al._kept_runs.cache_info().currsize == size
+    none = pa.RecordBatch.from_pylist([], pa.schema({"seq": pa.string(), "cigar": pa.string(), "pos": pa.int64(), "bases": pa.binary(), "refs": pa.binary(), "alts": pa.binary()}))
+    assert not list(al._pieces([none])) and not list(al._tallies([none], True))
