@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.strings import hamming, uniform_hash
+from tessera.operators.rounds import settled
+
+#: Rows of last stretches that every task may hold.
+FEW = 1 << 16
 
 
 def shuffled(df: DataFrame, keys: Sequence[str], id_col: str, seed: int = 0, out: str = "place") -> DataFrame:
@@ -24,17 +28,19 @@ def repeated_draws(df: DataFrame, keys: Sequence[str], id_col: str, size: int, d
     """`draws` samples of `size` rows of each group, with the number of the draw.
 
     A first pass counts the rows of each stretch of the hash, and only those of the stretches that hold the least `size`
-    are ranked, so that a draw's rows are not sorted whole."""
+    are ranked, so that a draw's rows are not sorted whole. The last stretches are written once and sent to all tasks where
+    they are few; the rows of the draws are not, whose size is guessed from the table that they are made of."""
     h = uniform_hash(F.col(id_col) * 1009 + F.col("draw"))
     many = df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("__s", F.coalesce(F.floor(h / 2**22).cast("int"), F.lit(-1)))
     counts = many.groupBy(*keys, "draw", "__s").agg(F.count("*").alias("__c"))
     before = F.sum("__c").over(Window.partitionBy(*keys, "draw").orderBy("__s")) - F.col("__c")
     last = counts.withColumn("__before", before).filter(F.col("__before") < size).groupBy(*keys, "draw").agg(F.max("__s").alias("__last"))
-    same = F.lit(True)
+    last, same = settled(last), F.lit(True)
+    last = last.hint("broadcast" if last.count() <= FEW else "merge")
     for c in (*keys, "draw"):
         last = last.withColumnRenamed(c, f"__k_{c}")
         same = same & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
-    few = many.join(last, same & (F.col("__s") <= F.col("__last"))).select(*df.columns, "draw")
+    few = many.join(last, same & (F.col("__s") <= F.col("__last")), "left_semi").select(*df.columns, "draw")
     w = Window.partitionBy(*keys, "draw").orderBy(h, id_col)
     return few.withColumn("__p", F.row_number().over(w)).filter(F.col("__p") <= size).drop("__p")
 

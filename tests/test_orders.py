@@ -46,3 +46,18 @@ def test_repeated_draws_rank_few_rows(spark, size):
     want = {(i, g, n) for n in (1, 2) for g in (0, 1, None) for _, i in sorted((hashes[i, n], i) for i, q in ids if q == g)[:size] for g in [g]}
     assert {(r.id, r.g, r.draw) for r in out.collect()} == want
     assert "Join" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("few", [d.FEW, 1])
+def test_rows_of_repeated_draws_are_not_broadcast(spark, tmp_path, monkeypatch, few):
+    """Their size is guessed without the draws, so the driver would take them all."""
+    monkeypatch.setattr(d, "FEW", few)
+    spark.range(5000).select("id", (F.col("id") % 3).alias("g")).write.parquet(str(tmp_path / "t"))
+    out = d.repeated_draws(spark.read.parquet(str(tmp_path / "t")), ["g"], "id", 10, 12)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for i, line in enumerate(plan):
+        if "BroadcastExchange" in line:
+            under = next((j for j in range(i + 1, len(plan)) if depth(plan[j]) <= depth(line)), len(plan))
+            assert not any("Generate" in x for x in plan[i:under])
+    assert out.groupBy("g", "draw").count().filter("count = 10").count() == 36
